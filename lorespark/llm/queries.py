@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import ann
+from lorespark.llm import ann, leakage
 from lorespark.session import table
 
 
@@ -14,3 +14,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found}
 SQL: dict[str, str] = {}
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where(f"words >= {leakage.MIN_WORDS}").select("item_id", "doc_id").distinct()
+
+
+QUERIES["p8_found"] = p8_found
+_WORDS = """regexp_extract_all(replace(lower(regexp_replace({}, '[\\x{{00AD}}\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')), 'ё', 'е'), '[\\p{{L}}\\p{{N}}]+')"""
+SQL["p8_found"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items),
+ds AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+es AS (SELECT item_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e))
+SELECT DISTINCT item_id, doc_id FROM es JOIN ds USING (s)"""
