@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorespark.llm import ann, leakage
+from lorespark.llm import ann, conversations, leakage
 from lorespark.session import table
 
 
@@ -29,3 +30,45 @@ e AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items),
 ds AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 es AS (SELECT item_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e))
 SELECT DISTINCT item_id, doc_id FROM es JOIN ds USING (s)"""
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = conversations.conversations(spark, f"{sf_dir}/messages.parquet")
+    reasons = F.filter(F.array(*[F.when(F.col(r), F.lit(r)) for r in ("broken", "empty", "missing_reply")]), lambda x: x.isNotNull())
+    return c.select("peer_id", "msg_from", "msg_to", F.explode(reasons).alias("reason")).distinct()
+
+
+def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/messages.parquet"
+    kept = conversations.conversations(spark, path).where("not (broken or empty or missing_reply)")
+    return conversations.turns(spark, path, kept)
+
+
+QUERIES |= {"p7_found": p7_found, "p7_turns": p7_turns}
+_P7 = """
+WITH m AS (
+  SELECT *, epoch_us(sent_at) AS us FROM messages WHERE peer_id IS NOT NULL AND vk_msg_id IS NOT NULL),
+dated AS (SELECT * FROM m WHERE us IS NOT NULL),
+once AS (SELECT peer_id, vk_msg_id, min(us) AS us FROM dated GROUP BY 1, 2),
+flagged AS (
+  SELECT *, CASE WHEN us - lag(us) OVER w <= 10800000000 THEN 0 ELSE 1 END AS fresh
+  FROM once WINDOW w AS (PARTITION BY peer_id ORDER BY us, vk_msg_id)),
+numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY peer_id ORDER BY us, vk_msg_id ROWS UNBOUNDED PRECEDING) AS sid FROM flagged),
+facts AS (
+  SELECT n.peer_id, n.sid, arg_min(n.vk_msg_id, (n.us, n.vk_msg_id)) AS msg_from, arg_max(n.vk_msg_id, (n.us, n.vk_msg_id)) AS msg_to,
+    min(n.vk_msg_id) AS lo, max(n.vk_msg_id) AS hi,
+    bool_or(d.sender IS NULL OR trim(d.sender) = '' OR coalesce((d.sender = 'Вы') <> d.is_own, true)) AS broken,
+    bool_or(regexp_matches(d.text, '[\\p{L}\\p{N}]')) AS speaks, bool_or(d.is_own) AS any_own, bool_and(coalesce(d.is_own, false)) AS all_own
+  FROM numbered n JOIN dated d USING (peer_id, vk_msg_id) GROUP BY 1, 2),
+judged AS (
+  SELECT f.*, broken OR EXISTS (SELECT 1 FROM m WHERE m.us IS NULL AND m.peer_id = f.peer_id AND m.vk_msg_id BETWEEN f.lo AND f.hi) AS torn FROM facts f)
+"""
+SQL["p7_found"] = _P7 + """
+SELECT peer_id, msg_from, msg_to, 'broken' AS reason FROM judged WHERE torn
+UNION SELECT peer_id, msg_from, msg_to, 'empty' FROM judged WHERE NOT speaks
+UNION SELECT peer_id, msg_from, msg_to, 'missing_reply' FROM judged WHERE all_own OR NOT any_own"""
+SQL["p7_turns"] = _P7 + """
+SELECT j.peer_id, j.msg_from, n.vk_msg_id, n.us AS sent_us, CASE WHEN arg_min(d.is_own, d.id) THEN 'own' ELSE 'other' END AS speaker, arg_min(d.text, d.id) AS text
+FROM judged j JOIN numbered n USING (peer_id, sid) JOIN dated d USING (peer_id, vk_msg_id)
+WHERE NOT torn AND speaks AND any_own AND NOT all_own GROUP BY 1, 2, 3, 4"""
