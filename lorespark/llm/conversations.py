@@ -30,7 +30,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def is_broken() -> Column:
     """A row without speaker, or whose speaker and side disagree; a null side disagrees with any speaker."""
-    blank = F.col("sender").isNull() | (F.regexp_replace("sender", r"(?U)[\s​﻿]", "") == "")
+    blank = F.col("sender").isNull() | (F.regexp_replace("sender", r"(?U)[\s\x{200B}\x{FEFF}]", "") == "")
     return blank | F.coalesce((F.col("sender") == OWN_SENDER) != F.col("is_own"), F.lit(True))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, conversations, leakage
+from lorespark.llm import ann, conversations, leakage, splitter
 from lorespark.session import table
 
 
@@ -72,3 +72,24 @@ SQL["p7_turns"] = _P7 + """
 SELECT j.peer_id, j.msg_from, n.vk_msg_id, n.us AS sent_us, CASE WHEN arg_min(d.is_own, d.id) THEN 'own' ELSE 'other' END AS speaker, arg_min(d.text, d.id) AS text
 FROM judged j JOIN numbered n USING (peer_id, sid) JOIN dated d USING (peer_id, vk_msg_id)
 WHERE NOT torn AND speaks AND any_own AND NOT all_own GROUP BY 1, 2, 3, 4"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("src"), F.col(i).alias("row_id"), F.col(c).alias("text"))
+             for t, i, c in (("messages", "id", "text"), ("voice_transcripts", "attachment_id", "transcript"), ("chunks", "id", "text"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitter.cuts(_texts(spark, sf_dir), ["src", "row_id"]).select("src", "row_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitter.pieces(_texts(spark, sf_dir), ["src", "row_id"]).drop("h")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_pieces": p5_pieces}
+SQL["p5_found"] = """
+SELECT 'messages' AS src, id AS row_id FROM messages WHERE length(text) > 2600
+UNION SELECT 'voice_transcripts', attachment_id FROM voice_transcripts WHERE length(transcript) > 2600
+UNION SELECT 'chunks', id FROM chunks WHERE length(text) > 2600"""
