@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, conversations, leakage, splitter
+from lorespark.llm import ann, conversations, leakage, mixing, splitter
 from lorespark.session import table
 
 
@@ -93,3 +93,14 @@ SQL["p5_found"] = """
 SELECT 'messages' AS src, id AS row_id FROM messages WHERE length(text) > 2600
 UNION SELECT 'voice_transcripts', attachment_id FROM voice_transcripts WHERE length(transcript) > 2600
 UNION SELECT 'chunks', id FROM chunks WHERE length(text) > 2600"""
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES |= {"p9_mix": p9_mix, "p9_shares": p9_shares}
