@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, conversations, leakage, mixing, splitter
+from lorespark.llm import ann, conversations, leakage, mixing, residue, splitter
 from lorespark.session import table
 
 
@@ -104,3 +104,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p9_mix": p9_mix, "p9_shares": p9_shares}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = residue.detect(table(spark, sf_dir, "voice_transcripts"), "attachment_id", "transcript")
+    return found.where("excluded and attachment_id is not null").select("attachment_id").distinct()
+
+
+QUERIES |= {"p2_found": p2_found}
