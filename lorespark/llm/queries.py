@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, conversations, leakage, mixing, residue, splitter
+from lorespark.llm import ann, conversations, leakage, mixing, ocr, residue, splitter
 from lorespark.session import table
 
 
@@ -112,3 +112,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.noise(table(spark, sf_dir, "photo_analysis"))
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.repaired(table(spark, sf_dir, "photo_analysis"))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_repaired": p6_repaired}
