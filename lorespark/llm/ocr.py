@@ -142,7 +142,7 @@ def corrections(taken: DataFrame) -> DataFrame:
           FROM hashed LATERAL VIEW explode(array_distinct(split(plain, ''))) AS c),
         met AS (
           SELECT DISTINCT r.plain AS word, r.n, f.plain AS correction, f.n AS n_correct
-          FROM reduced r JOIN reduced f ON r.key = f.key AND r.len = f.len AND f.n >= 3 * r.n AND f.n >= IF(r.len <= 3, 12, 3)
+          FROM reduced r JOIN reduced f ON r.key = f.key AND r.len = f.len AND f.n >= IF(r.n = 1, 3, 10 * r.n) AND f.n >= IF(r.len <= 3, 12, 3)
           JOIN __ocr_confused k ON k.a = f.letter AND k.b = r.letter
           WHERE levenshtein(r.plain, f.plain) = 1)
         SELECT word, max_by(correction, struct(n_correct, correction)) AS correction, first(n) AS n, max(n_correct) AS n_correct FROM met GROUP BY word""")
