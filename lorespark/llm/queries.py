@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, conversations, leakage, mixing, ocr, residue, splitter
+from lorespark.llm import abuse, ann, conversations, leakage, mixing, ocr, residue, splitter
 from lorespark.session import table
 
 
@@ -123,3 +123,22 @@ def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_repaired": p6_repaired}
+
+
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_labels"), keep=("source",))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(_abuse(spark, sf_dir))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir).drop("source")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_abuse(spark, sf_dir))
+
+
+QUERIES |= {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
