@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import abuse, ann, conversations, leakage, mixing, ocr, residue, splitter
+from lorespark.llm import abuse, ann, conversations, leakage, mixing, ocr, pii, residue, splitter
 from lorespark.session import table
 
 
@@ -142,3 +142,18 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).where("src <> 'chunks'")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_records(spark, sf_dir), ["src", "row_id"]).where("row_id is not null").select("src", "row_id", "kind").distinct()
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(_records(spark, sf_dir), ["src", "row_id"])
+
+
+QUERIES |= {"p4_found": p4_found, "p4_masked": p4_masked}
