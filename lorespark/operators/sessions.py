@@ -9,7 +9,7 @@ links until every node points at the first node of its session.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.session import Stage
@@ -36,6 +36,27 @@ def resolve_roots(links: DataFrame, keys: list[str], node: str = "node", ptr: st
             return cur.drop("__moved")
 
 
+def _roots(nodes: DataFrame, gap: int) -> DataFrame:
+    """(ent, node, ptr) of the nodes that do not start a session."""
+    before = nodes.select("ent", (F.col("node") + 1).alias("node"), F.col("last.us").alias("prev_us"))
+    links = (nodes.select("ent", "node", F.col("first.us").alias("us")).join(before, ["ent", "node"])
+             .where(F.col("us") - F.col("prev_us") <= gap)
+             .select("ent", "node", (F.col("node") - 1).alias("ptr")))
+    return resolve_roots(links, ["ent"], name="session-links")
+
+
+def session_roots(events: DataFrame, entity: str, ts: str, gap_seconds: int = 180 * 60) -> DataFrame:
+    """(entity, node, root): the session of every bucket, floor(micros / gap), that has events."""
+    gap = gap_seconds * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    nodes = Stage(events.sparkSession, "session-nodes").cut(
+        events.select(F.col(entity).alias("ent"), us.alias("us")).where("ent is not null and us is not null")
+        .groupBy("ent", F.floor(F.col("us") / F.lit(gap)).cast("long").alias("node"))
+        .agg(F.min(F.struct("us")).alias("first"), F.max(F.struct("us")).alias("last")))
+    roots = _roots(nodes, gap)
+    return nodes.join(roots, ["ent", "node"], "left").select(F.col("ent").alias(entity), "node", F.coalesce("ptr", "node").alias("root"))
+
+
 def sessionize(events: DataFrame, entity: str, ts: str, event_id: str, gap_seconds: int = 180 * 60) -> DataFrame:
     """One row per session: (entity, first_id, last_id, started_at, ended_at, duration_s, n_events).
 
@@ -53,11 +74,7 @@ def sessionize(events: DataFrame, entity: str, ts: str, event_id: str, gap_secon
     nodes = Stage(events.sparkSession, "session-nodes").cut(
         once.groupBy("ent", F.floor(F.col("us") / F.lit(gap)).cast("long").alias("node"))
         .agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")))
-    before = nodes.select("ent", (F.col("node") + 1).alias("node"), F.col("last.us").alias("prev_us"))
-    links = (nodes.select("ent", "node", F.col("first.us").alias("us")).join(before, ["ent", "node"])
-             .where(F.col("us") - F.col("prev_us") <= gap)
-             .select("ent", "node", (F.col("node") - 1).alias("ptr")))
-    roots = resolve_roots(links, ["ent"], name="session-links")
+    roots = _roots(nodes, gap)
     done = (nodes.join(roots, ["ent", "node"], "left")
             .groupBy("ent", F.coalesce("ptr", "node").alias("root"))
             .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n_events")))
@@ -65,11 +82,3 @@ def sessionize(events: DataFrame, entity: str, ts: str, event_id: str, gap_secon
         F.col("ent").alias(entity), F.col("first.eid").alias("first_id"), F.col("last.eid").alias("last_id"),
         F.timestamp_micros("first.us").alias("started_at"), F.timestamp_micros("last.us").alias("ended_at"),
         ((F.col("last.us") - F.col("first.us")) / 1e6).alias("duration_s"), "n_events")
-
-
-def gap_flags(order_col: Column, partition: list[Column], gap_seconds: int) -> Column:
-    """Window form of the same rule, for bounded partitions: 1 where a session starts."""
-    from pyspark.sql import Window as W
-    w = W.partitionBy(*partition).orderBy(order_col)
-    prev = F.lag(order_col).over(w)
-    return F.when(prev.isNull() | (order_col - prev > gap_seconds), 1).otherwise(0)
