@@ -54,8 +54,13 @@ def message_text(body: Column | str) -> Column:
 
 
 def collapse_repeats(c: Column | str) -> Column:
-    """Five or more repeats of a unit of up to four characters become three; runs of digits, points, commas and blanks stay."""
-    return F.regexp_replace(as_col(c), r"(?U)(([\d.,\s]{1,4}?)\2{4,})|([^\n]{1,4}?)\3{4,}", "$1$3$3$3")
+    """Five or more repeats of a unit of up to four characters become three; runs of digits, points, commas and blanks stay.
+
+    Most texts have no such repeat; a plain test keeps them off the full pattern.
+    """
+    c = as_col(c)
+    full = F.regexp_replace(c, r"(?U)(([\d.,\s]{1,4}?)\2{4,})|([^\n]{1,4}?)\3{4,}", "$1$3$3$3")
+    return F.when(c.rlike(r"([^\n]{1,4}?)\1{4}"), full).otherwise(c)
 
 
 def fmt_duration(c: Column | str) -> Column:

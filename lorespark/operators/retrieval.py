@@ -142,6 +142,39 @@ def fts_leg(index: DataFrame, query: str, pool: int, stemmed: bool = True) -> Da
     return ranked(found, [F.desc("rank_cd"), F.asc("id")], pool, "frank")
 
 
+def fts_scan_leg(chunks: DataFrame, query: str, pool: int, stemmed: bool = True, id_col: str = "id", text: str = "text") -> DataFrame:
+    """The same result as ``fts_leg`` without an index: one scan, no shuffle.
+
+    A term's forms share its first letters, so texts without them are dropped in the JVM; only the rest is
+    tokenised and stemmed.
+    """
+    must, never = parse_query(query, stemmed)
+    if not must:
+        return chunks.sparkSession.createDataFrame([], "id long, rank_cd double, frank long")
+    low = F.translate(F.lower(as_col(text)), "ё", "е")
+    df = chunks.select(F.col(id_col).alias("id"), F.lower(as_col(text)).alias("low"), low.alias("plain")).where("low is not null")
+    for alternatives in must:
+        heads = [t[: max(2, len(t) - 1)] if stemmed else t for p in alternatives for t in p[:1]]
+        hit = F.col("plain").contains(heads[0].replace("ё", "е"))
+        for h in heads[1:]:
+            hit = hit | F.col("plain").contains(h.replace("ё", "е"))
+        df = df.where(hit)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, t in zip(pdf.id, pdf.low, strict=True):
+                pos: dict[str, list[int]] = {}
+                for k, w in enumerate(re.findall(r"[^\W_]+", t)):
+                    pos.setdefault(stem(w) if stemmed else w, []).append(k)
+                r = cover_density(pos, must, never)
+                if r is not None:
+                    out.append((i, r))
+            yield pd.DataFrame(out, columns=["id", "rank_cd"])
+
+    return ranked(df.select("id", "low").mapInPandas(score, "id long, rank_cd double"), [F.desc("rank_cd"), F.asc("id")], pool, "frank")
+
+
 def _same(term: str):
     return lambda w: w == F.lit(term)
 
@@ -186,8 +219,7 @@ def search(chunks: DataFrame, dialogs: DataFrame, query: str, embedder: Embedder
     inside = chunks.where(cond)
     vec = vector_leg(inside, embedder.embed([query])[0], pool, embedder.dim) if mode != "fts" else None
     if mode != "vector":
-        ix = inverted_index(inside) if index is None else index.join(inside.select("id"), "id", "left_semi")
-        fts = fts_leg(ix, query, pool)
+        fts = fts_scan_leg(inside, query, pool) if index is None else fts_leg(index.join(inside.select("id"), "id", "left_semi"), query, pool)
     else:
         fts = None
     return with_rows(fuse(vec, fts, top), chunks, dialogs)
@@ -217,6 +249,17 @@ def backfill(chunks: DataFrame, done: DataFrame, embedder: Embedder, keys: list[
     return embed_column(todo, "text", "embedding", embedder).drop("text")
 
 
+def containing(docs: DataFrame, needles: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id) for each stated passage start (item_id, start), a fixed set, that a text holds word for word."""
+    stated = [(i, t) for i, t in needles.collect() if t]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(d, i) for d, t in zip(pdf[doc_id], pdf[text], strict=True) for i, n in stated if n in t], columns=[doc_id, "item_id"]).astype("int64")
+
+    return docs.select(doc_id, text).mapInPandas(run, f"{doc_id} long, item_id long")
+
+
 def metrics(ranks: DataFrame, n_cases: int | Column, group: list[str]) -> DataFrame:
     """MRR, hits at 1 and 5, misses; ranks: one row per case, null rank for a miss."""
     r = F.col("rank")

@@ -80,10 +80,15 @@ def fts_and_match(s, d):
     return retrieval.fts_simple_leg(T(s, d, "chunks"), TERMS, 50)
 
 
+@query()
+def fts_index(s, d):
+    """The same through an inverted index."""
+    return retrieval.fts_leg(retrieval.inverted_index(T(s, d, "chunks").select("id", "text")), 'морковный кекс or суп -"на углях"', 50)
+
+
 @query()
 def fts_cover_rank(s, d):
-    ix = retrieval.inverted_index(T(s, d, "chunks").select("id", "text"))
-    return retrieval.fts_leg(ix, 'морковный кекс or суп -"на углях"', 50)
+    return retrieval.fts_scan_leg(T(s, d, "chunks").select("id", "text"), 'морковный кекс or суп -"на углях"', 50)
 
 
 def _legs(s, d):
@@ -140,10 +145,7 @@ def eval_mrr(s, d):
     hits = dt.join(F.broadcast(qt), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))  # a fixed set of 200 questions
     best = analytics.top_per(hits, ["item_id"], [F.desc("n"), F.asc("doc_id")], 20)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), F.asc("doc_id"))))
-    # a document holds the start if it holds the start's first fifteen characters; the join is on the pieces that follow them
-    starts = items.select("item_id", F.substring("passage", 1, 60).alias("start"))
-    found = F.filter(F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(t).alias("start")) for i, t in starts.orderBy("item_id").collect()]), lambda x: F.col("text").contains(x["start"]))
-    target = docs.where("text is not null").select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.item_id")
+    target = retrieval.containing(docs.where("text is not null"), items.select("item_id", F.substring("passage", 1, 60).alias("start")))
     ranks = target.join(best, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("rank"))
     return retrieval.metrics(ranks.withColumn("g", F.lit(1)), 0, ["g"]).drop("g")
 
@@ -515,13 +517,13 @@ def _lines(s, d):
 
 @query()
 def chunk_dialogs(s, d):
-    c = chunking.with_header(chunking.chunk_dialogs(_lines(s, d)), T(s, d, "dialogs"))
+    c = chunking.with_header(chunking.chunk_dialogs(_lines(s, d), T(s, d, "messages")), T(s, d, "dialogs"))
     return c.select("peer_id", "part", "msg_from", "msg_to", US("ts_from").alias("from_us"), US("ts_to").alias("to_us"), "n_messages", "text", F.array_join("senders", ",").alias("senders"), "n_voice", "has_own", "month")
 
 
 @query()
 def chunk_stats(s, d):
-    c = chunking.chunk_dialogs(_lines(s, d))
+    c = chunking.chunk_dialogs(_lines(s, d), T(s, d, "messages"))
     return c.groupBy("peer_id").agg(F.count("*").alias("chunks"), F.sum(F.length("body")).alias("chars"), F.sum(F.when(F.col("part") <= 1, F.col("n_voice"))).alias("voice"), F.sum(F.when(F.col("part") <= 1, F.col("n_messages"))).alias("messages"))
 
 
