@@ -1,10 +1,8 @@
-"""Tables of the archive."""
+"""Tables of the archive, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-SCHEMAS = {k: StructType.fromDDL(v) for k, v in {
+SCHEMAS = {
     "dialogs": "peer_id bigint, name string, kind string, useless boolean, total_msgs int, own_msgs int, own_share float, voice_total int, voice_own int, years array<int>, meta string",
     "messages": "id bigint, peer_id bigint, vk_msg_id bigint, sent_at timestamp, sender string, is_own boolean, text string, fwd_json string, page_file string",
     "attachments": "id bigint, message_id bigint, att_type string, kind string, url string, local_path string, download_ok boolean",
@@ -15,7 +13,7 @@ SCHEMAS = {k: StructType.fromDDL(v) for k, v in {
     "dialog_periods": "peer_id bigint, year_from int, description string, whisper_prompt string",
     "analyses": "id bigint, kind string, span struct<start: date, end: date>, content string, model string, meta string",
     "chunks": "id bigint, peer_id bigint, msg_from bigint, msg_to bigint, part smallint, ts_from timestamp, ts_to timestamp, n_messages int, text string, embedding array<float>, emb_model string, meta string, source string",
-}.items()}
+}
 
 #: Unique keys, and values a column may take.
 KEYS = {"dialogs": ["peer_id"], "messages": ["peer_id", "vk_msg_id"], "attachments": ["id"], "voice_transcripts": ["attachment_id"], "photo_analysis": ["attachment_id"],

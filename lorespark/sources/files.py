@@ -52,7 +52,7 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_vocab(spark: SparkSession, folder: str) -> DataFrame:
     """(peer_id, term, gloss, source, first_batch, first_date) of <peer>.md: the manual list in its text block, and the collected section."""
-    t = spark.read.option("wholetext", True).text(folder).withColumn("path", F.input_file_name()).withColumn("peer_id", F.regexp_extract("path", r"/(-?\d+)\.md$", 1).try_cast("long")).where("peer_id is not null")
+    t = spark.read.text(folder, wholetext=True).withColumn("path", F.input_file_name()).withColumn("peer_id", F.regexp_extract("path", r"/(-?\d+)\.md$", 1).try_cast("long")).where("peer_id is not null")
     block = F.regexp_extract("value", r"(?s)```text\n(.*?)```", 1)
     manual = (t.select("peer_id", F.explode(F.split(block, "[,\n]")).alias("term")).select("peer_id", trim_all("term").alias("term")).where("length(term) > 1 and length(term) <= 60")
               .select("peer_id", "term", F.lit(None).cast("string").alias("gloss"), F.lit("manual").alias("source"), F.lit(None).cast("string").alias("first_batch"), F.lit(None).cast("string").alias("first_date")))
@@ -64,7 +64,7 @@ def read_vocab(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_periods(spark: SparkSession, folder: str) -> DataFrame:
     """(peer_id, year_from, description, whisper_prompt) of <peer>-periods.md: sections '### … YYYY год …'; of a repeated year the last."""
-    t = spark.read.option("wholetext", True).text(folder).withColumn("peer_id", F.regexp_extract(F.input_file_name(), r"/(-?\d+)-periods\.md$", 1).try_cast("long")).where("peer_id is not null")
+    t = spark.read.text(folder, wholetext=True).withColumn("peer_id", F.regexp_extract(F.input_file_name(), r"/(-?\d+)-periods\.md$", 1).try_cast("long")).where("peer_id is not null")
     s = t.select("peer_id", F.posexplode(F.split("value", r"(?m)^###")).alias("i", "s")).withColumn("year_from", F.regexp_extract("s", r"^[^\n]*?(\d{4})\s+год", 1).try_cast("int")).where("year_from is not null")
     s = s.withColumn("whisper_prompt", trim_all(F.regexp_extract("s", r"(?s)```text\n(.*?)```", 1)))
     s = s.withColumn("description", F.substring(trim_all(F.regexp_replace(F.regexp_replace("s", r"^[^\n]*\n?", ""), r"(?s)```.*?```", "")), 1, 2500))

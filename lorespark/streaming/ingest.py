@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lorespark.operators.merge import first_seen, upsert
 from lorespark.session import shared_dir
@@ -19,7 +18,7 @@ def session_windows(stream: DataFrame, entity: str, ts: str, gap_seconds: int =
 class Snapshot:
     """A table as a row of numbered snapshots in one folder; a merge writes a new one, then names it current."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+    def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _fs(self):
