@@ -65,7 +65,7 @@ SEEDS = {
 }
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿̶̀́]")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_](?:[.\-_*]| (?! ))){2,}[^\W_](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_]([.\-_* ])[^\W_](?:\1[^\W_])+(?![^\W_])")  # one kind of sign all through
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _ODD = re.compile(r"[^\W_]*[^\W\d_][@$0-9*][\w@$*]*|[@$*0-9]+[^\W\d_][\w@$*]*|[a-z]+[а-я]\w*|[а-я]+[a-z]\w*")
 # Signs that stand for a letter in a disguised word.
@@ -132,6 +132,7 @@ class Bags:
     feature: np.ndarray
     windows: list[np.ndarray]  # per set: window number of each feature
     text_of: list[np.ndarray]  # per set: text of each window
+    n_word: int = 0  # so many features, the first ones, are of words and pairs
 
 
 def bags(texts: list[str]) -> Bags:
@@ -178,7 +179,7 @@ def bags(texts: list[str]) -> Bags:
         win = np.cumsum(brk) - 1
         windows.append(win[of])
         text_of.append(doc[np.nonzero(brk)[0]])
-    return Bags(len(texts), feature, windows, text_of)
+    return Bags(len(texts), feature, windows, text_of, len(uni) + len(bi))
 
 
 _LETTER = np.array([chr(i).isalnum() for i in range(0x3000)])
@@ -286,6 +287,29 @@ def rater_votes(labels: list[tuple[int, str, str]]) -> dict[int, tuple[str, floa
     return out
 
 
+def telling(b: Bags, inside: np.ndarray, clean: np.ndarray, served: np.ndarray, share: float = 0.15, least: int = 5, odds: float = 2.5, total: float = 5.0) -> np.ndarray:
+    """For documents of a category without an example so far: the window whose features tell the category's
+    documents from clean ones most, if they do so clearly.  inside and clean are per window."""
+    out = np.zeros(len(inside), bool)
+    n_in, n_clean = len(np.unique(b.text_of[0][inside])), len(np.unique(b.text_of[0][clean]))
+    if n_in < 2 * least or n_clean < 2 * least:
+        return out
+    win, feat = b.windows[0][: b.n_word], b.feature[: b.n_word]
+
+    def documents(mask: np.ndarray) -> np.ndarray:
+        use = mask[win]
+        pairs = np.unique(b.text_of[0][win[use]] * (1 << BITS) + feat[use])
+        return np.bincount(pairs % (1 << BITS), minlength=1 << BITS)
+
+    a, c = documents(inside), documents(clean)
+    lo = np.log((a + 0.5) / (n_in + 1)) - np.log((c + 0.5) / (n_clean + 1))
+    lo[(a < max(least, share * n_in)) | (lo < odds)] = 0
+    score = np.bincount(win, lo[feat], len(inside))
+    best = np.zeros(b.n_texts)
+    np.maximum.at(best, b.text_of[0], np.where(inside, score, 0))
+    return inside & ~served[b.text_of[0]] & (score >= total) & (score == best[b.text_of[0]])
+
+
 def fit(labelled: list[tuple[str, str, float]]) -> Chain:
     """labelled: (text, label, certainty) of documents.  No labelled document: the seeds alone."""
     seeds = [(t, k) for k, xs in SEEDS.items() for t in xs]
@@ -313,6 +337,8 @@ def fit(labelled: list[tuple[str, str, float]]) -> Chain:
         np.maximum.at(best, b.text_of[0], p[i])
         mine = (label == i) & ((p[i] >= 0.5) | ((p[i] == best[b.text_of[0]]) & (p[i] >= 0.35)))
         y[i, mine] = 1
+        mine = telling(b, label == i, label == -1, np.bincount(b.text_of[0], y[i], len(docs)) > 0) & (top < 0.35)  # not another category's
+        y[i, mine] = 1
     positive = y.any(0)
     weight[(label >= 0) & ~positive & (top > 0.3)] = 0  # unclear windows of a labelled document
     weight[(label < 0) & (top > 0.8)] *= 0.5  # a rater may have erred

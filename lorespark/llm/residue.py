@@ -85,6 +85,7 @@ MIX = (0.2, 0.35, 0.45)
 WINDOW = 2  # words to each side
 RATIO = 0.3  # nats per character of a window that is residue
 COVERAGE = 0.5
+EVIDENCE = 4.0  # nats that a text's residue windows must have together
 CLASSES = 3  # filler, notices, prose
 
 
@@ -160,10 +161,12 @@ def ratios(models: list[np.ndarray], texts: list[str]) -> tuple[np.ndarray, np.n
 
 
 def coverage(models: list[np.ndarray], texts: list[str]) -> np.ndarray:
-    """Share of each text's characters that lie in residue windows."""
+    """Share of each text's characters that lie in residue windows; 0 where these are too short to be evidence."""
     doc, size, ratio, _ = ratios(models, texts)
     total = np.bincount(doc, size, len(texts))
-    return np.bincount(doc, size * (ratio > RATIO), len(texts)) / np.maximum(total, 1)
+    hit = ratio > RATIO
+    evidence = np.bincount(doc, size * ratio * hit, len(texts))
+    return np.where((evidence >= EVIDENCE) & (total >= 4), np.bincount(doc, size * hit, len(texts)) / np.maximum(total, 1), 0.0)
 
 
 def seed_models() -> list[np.ndarray]:

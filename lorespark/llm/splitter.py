@@ -88,36 +88,35 @@ def cuts(texts: DataFrame, keys: list[str], text: str = "text", oversized: int =
     if not 0 <= overlap < limit // 4 or oversized < limit or limit < 4 * LONG_RUN:
         raise ValueError("overlap must be under a quarter of the limit, the limit at least four long runs and at most the size")
     stage = Stage(texts.sparkSession, "cuts")
-    long = texts.select(*keys, F.xxhash64(text).alias("h"), F.col(text).alias("__text")).where(F.length("__text") > oversized)
-    kept = [*keys, "h"]
+    # one struct as the key, as structs with null fields are equal where plain nulls are not
+    long = texts.select(F.struct(*keys, F.xxhash64(text).alias("h")).alias("k"), F.col(text).alias("t")).where(F.length("t") > oversized)
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in enumerate(b.column(len(kept)).to_pylist()):
+            for i, t in enumerate(b.column(1).to_pylist()):
                 node, end, succ = successors(t, limit, overlap)
-                same = pa.array(np.full(len(node), i))
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(same) for k in range(len(kept))), pa.array(node), pa.array(end), pa.array(succ)], [*kept, "node", "end", "succ"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(node), i))), pa.array(node), pa.array(end), pa.array(succ)], ["k", "node", "end", "succ"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema if f.name != "__text")
-    table = stage.cut(long.mapInArrow(nodes, f"{schema}, node long, end long, succ long").dropDuplicates([*kept, "node"]))
-    hop = table.where("succ >= 0").select(*kept, "node", "succ")
-    reached = table.where("node = 0").select(*kept, F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("piece"))
+    kind = long.schema["k"].dataType.simpleString()
+    table = stage.cut(long.mapInArrow(nodes, f"k {kind}, node long, end long, succ long").dropDuplicates(["k", "node"]))
+    hop = table.where("succ >= 0").select("k", "node", "succ")
+    reached = table.where("node = 0").select("k", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("piece"))
     step = 1
     while not hop.isEmpty():
-        more = reached.join(hop, [*kept, "node"]).select(*kept, F.col("succ").alias("node"), (F.col("piece") + step).alias("piece"))
-        ahead = hop.select(*kept, F.col("node").alias("succ"), F.col("succ").alias("__next"))
+        more = reached.join(hop, ["k", "node"]).select("k", F.col("succ").alias("node"), (F.col("piece") + step).alias("piece"))
+        ahead = hop.select("k", F.col("node").alias("succ"), F.col("succ").alias("next"))
         old, reached = (hop, reached), stage.cut(reached.unionByName(more))
-        hop = stage.cut(hop.join(ahead, [*kept, "succ"]).select(*kept, "node", F.col("__next").alias("succ")))
+        hop = stage.cut(hop.join(ahead, ["k", "succ"]).select("k", "node", F.col("next").alias("succ")))
         for df in old:
             stage.drop(df)
         step *= 2
-    return reached.join(table.select(*kept, "node", "end"), [*kept, "node"]).select(*kept, "piece", F.col("node").alias("start"), "end")
+    return reached.join(table.select("k", "node", "end"), ["k", "node"]).select("k.*", "piece", F.col("node").alias("start"), "end")
 
 
 def pieces(texts: DataFrame, keys: list[str], text: str = "text", **how: int) -> DataFrame:
     """``cuts`` with the text of each piece."""
-    found = cuts(texts, keys, text, **how)
-    spans = found.groupBy(*keys, "h").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end"))).alias("spans"))
-    src = texts.select(*keys, F.xxhash64(text).alias("h"), F.col(text).alias("__text")).where(F.length("__text") > how.get("oversized", OVERSIZED)).dropDuplicates([*keys, "h"])
-    return (src.join(spans, [*keys, "h"]).withColumn("s", F.explode("spans"))
-            .select(*keys, "h", "s.piece", "s.start", "s.end", F.expr("substring(__text, cast(s.start as int) + 1, cast(s.end - s.start as int))").alias("text")))
+    key = F.struct(*keys, "h").alias("k")
+    spans = cuts(texts, keys, text, **how).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end"))).alias("spans"))  # one text's pieces
+    src = texts.select(*keys, F.xxhash64(text).alias("h"), F.col(text).alias("t")).where(F.length("t") > how.get("oversized", OVERSIZED)).select(key, "t").dropDuplicates(["k"])
+    return (src.join(spans, "k").withColumn("s", F.explode("spans"))
+            .select("k.*", "s.piece", "s.start", "s.end", F.expr("substring(t, cast(s.start as int) + 1, cast(s.end - s.start as int))").alias("text")))
