@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lorespark.operators.joins import points_in
 from lorespark.operators.sessions import resolve_roots
 from lorespark.session import Stage, scratch_path
 
@@ -35,7 +36,9 @@ def is_broken() -> Column:
 
 
 def message_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    if not path.rstrip("/").endswith(".parquet") or os.path.isdir(path.removeprefix("file://")):
+    """A stream of a table's folder, or of a table that is one file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
         return spark.readStream.schema(schema).parquet(path)
     folder, name = os.path.split(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
@@ -88,24 +91,6 @@ def stitch(parts: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
                  F.max("broken").alias("broken"), F.max("speaks").alias("speaks"), F.max("any_own").alias("any_own"), F.min("all_own").alias("all_own")))
 
 
-def within(points: DataFrame, intervals: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
-    """Intervals (with their columns) that hold at least one point of their key.
-
-    An interval of length below 2**L lies in one or two aligned blocks of that size, so it is joined by
-    (key, L, block) with equality; points take part on the levels that occur.  No range join per key.
-    """
-    level = F.ceil(F.log2(F.col(hi) - F.col(lo) + 2)).cast("int")
-    iv = intervals.withColumn("__l", level).withColumn("__size", F.expr("shiftleft(1L, __l)"))
-    used = [r[0] for r in iv.select("__l").distinct().collect()]  # at most 64 levels
-    if not used:
-        return intervals.limit(0)
-    blocks = iv.withColumn("__b", F.explode(F.array_distinct(F.array(F.floor(F.col(lo) / F.col("__size")), F.floor(F.col(hi) / F.col("__size"))))))
-    pts = (points.select(F.col(key), F.col(point).alias("__p")).distinct().withColumn("__l", F.explode(F.array(*[F.lit(x).cast("int") for x in used])))
-           .withColumn("__b", F.floor(F.col("__p") / F.expr("shiftleft(1L, __l)"))))
-    hit = blocks.join(pts, [key, "__l", "__b"]).where(F.col("__p").between(F.col(lo), F.col(hi)))
-    return hit.select(*intervals.columns).distinct()
-
-
 def conversations(spark: SparkSession, path: str, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """(peer_id, root_us, msg_from, msg_to, started_us, ended_us, n_rows, broken, empty, missing_reply) per conversation.
 
@@ -118,7 +103,7 @@ def conversations(spark: SparkSession, path: str, gap_seconds: int = GAP_SECONDS
     source = message_stream(spark, path, table.schema).select(*cols)
     whole = Stage(spark, "conversations-whole").cut(stitch(run_stream(spark, source, gap_seconds), gap_seconds))
     lost = table.where("sent_at is null and peer_id is not null and vk_msg_id is not null").select("peer_id", "vk_msg_id")
-    hit = within(lost, whole.select("peer_id", "root", "vk_min", "vk_max"), "peer_id", "vk_msg_id", "vk_min", "vk_max").select("peer_id", "root", F.lit(True).alias("gap"))
+    hit = points_in(lost.distinct(), whole.select("peer_id", "root", "vk_min", "vk_max"), ["peer_id"], "vk_msg_id", "vk_min", "vk_max").select("peer_id", "root").distinct().withColumn("gap", F.lit(True))
     return whole.join(hit, ["peer_id", "root"], "left").select(
         "peer_id", F.col("root").alias("root_us"), F.col("first.vk").alias("msg_from"), F.col("last.vk").alias("msg_to"), F.col("first.us").alias("started_us"),
         F.col("last.us").alias("ended_us"), "n_rows", (F.col("broken") | F.coalesce("gap", F.lit(False))).alias("broken"),

@@ -58,6 +58,8 @@ def test_personal_information(spark):
     clean = [r for r in rows if 0 < r[1] < 400 and not any((r[1], k) in got for k in make)]
     assert all(masked[r[1]] == r[2] for r in clean)
     assert pii.detect(df.limit(0), ["src", "row_id"]).count() == 0
+    null = spark.createDataFrame([(None, None, rows[i][2]) for i in range(30)], "src string, row_id long, text string")
+    assert sorted(r.text for r in pii.masked(null, ["src", "row_id"]).collect()) != sorted(r[2] for r in rows[:30]) and pii.masked(null, ["src", "row_id"]).count() == 30
 
 
 # ---- scanned pages
