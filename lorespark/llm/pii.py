@@ -57,6 +57,10 @@ DECOYS = {
     "name": re.compile(r"улиц|площад|имени\b|роман[а-я]* писат|фильм|книг|песн|режисс|актер|памятник|музей", re.I),
 }
 DIGITS = re.compile(r"(?<![\w.])\+?\(?\d(?:[\d()\s.№\-]|(?:,?\s*(?:серия|номер)\s+))*\d(?![\w])", re.I)
+#: Groups of a digit span, what two numbers rather than one stand around, and groups that make a phone or an id by themselves.
+_GROUP = re.compile(r"\+?\(?\d+")
+_BREAK = re.compile(r"\s*[\r\n]\s*|\.\s+")
+_SHAPED = re.compile(r"(?:\+?[78][\s.\-]*\(?\d{3}|\(?9\d{2})\)?[\s.\-]*\d{3}[\s.\-]*\d\d[\s.\-]*\d\d|\d{3}[ \-]\d{3}[ \-]\d{3}[ \-]\d\d|\d\d ?\d\d\s*№?\s*\d{6}|\d{10,12}")
 EMAIL = re.compile(r"(?:mailto:)?[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\(собака\)|\[собака\])\s?[\w\-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\[точка\]|\(точка\))\s?)[\w\-]+)+"
                    r"|[\w.\-]+(?:\s(?:точка|нижнее подч[её]ркивание|дефис|тире|минус|dot|underscore|dash)\s[\w\-]+)*\s(?:собака|собачка|эт|at)\s[\w\-]+(?:\s(?:точка|дефис|тире|минус|dot|dash)\s[\w\-]+)*?\s(?:точка|dot)\s[a-zа-я]{2,}(?:\s(?:точка|dot)\s[a-zа-я]{2,})*", re.I)
 SPOKEN = re.compile(rf"(?<!\w)(?:плюс\s+)?{_N}(?:(?:\s+|,\s*|\s+номер\s+){_N})+(?!\w)", re.I)
@@ -131,8 +135,51 @@ def _cue(kind: str, before: str, after: str) -> tuple[int, int]:
     return plus, minus
 
 
+def _digits(s: str) -> int:
+    return sum(c.isdigit() for c in s)
+
+
+def _shaped(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Runs of whole groups between a and b that are shaped like one phone or id; of nested ones the longest."""
+    groups = [(m.start(), m.end(), _digits(m.group())) for m in _GROUP.finditer(text, a, b)]
+    out: list[tuple[int, int]] = []
+    for i, (x, _, _) in enumerate(groups):
+        n, best = 0, 0
+        for _, y, k in groups[i:]:
+            n += k
+            if n > 12:
+                break
+            if n >= 10 and _SHAPED.fullmatch(text, x, y):
+                best = y
+        if best and not (out and best <= out[-1][1]):
+            out.append((x, best))
+    return out
+
+
+def number_runs(text: str) -> list[tuple[int, int]]:
+    """Where a phone or id may stand: digit spans of 10 to 12 digits, and the shaped runs of those that hold more than one number.
+
+    Line ends and a dot before a blank part numbers, unless none of the parts has the digits of one.
+    """
+    out: list[tuple[int, int]] = []
+    for m in DIGITS.finditer(text):
+        if _digits(m.group()) < 10:
+            continue
+        ends = [(x.start(), x.end()) for x in _BREAK.finditer(text, m.start(), m.end())]
+        cut = list(zip([m.start(), *(y for _, y in ends)], [*(x for x, _ in ends), m.end()], strict=True))
+        parts = [(x, y) for x, y in cut if _digits(text[x:y]) >= 10]
+        for x, y in parts or [(m.start(), m.end())]:
+            whole = _digits(text[x:y]) <= 12
+            out += [(x, y)] if whole else []
+            if not whole or not _SHAPED.fullmatch(text, x, y):
+                out += [r for r in _shaped(text, x, y) if r != (x, y)]
+        if parts:  # a number that a line end cuts may stand beside a whole one
+            out += [r for r in _shaped(text, m.start(), m.end()) if not any(r[0] < y and x < r[1] for x, y in out)]
+    return out
+
+
 def _numbers(text: str) -> Iterator[Span]:
-    found = [(m.start(), m.end(), re.sub(r"\D", "", m.group()), m.group(), False) for m in DIGITS.finditer(text) if sum(c.isdigit() for c in m.group()) >= 10]
+    found = [(a, b, re.sub(r"\D", "", text[a:b]), text[a:b], False) for a, b in number_runs(text)]
     if re.search(r"(?:сот|дцать|десят|сорок|девяносто|сто)\b", text, re.I):
         for m in SPOKEN.finditer(text):
             d = spoken_digits(m.group())

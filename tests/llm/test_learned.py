@@ -30,6 +30,19 @@ def test_spoken_digits():
     assert pii.spoken_digits("серия сорок три двенадцать номер двести шестьдесят четыре сто двадцать восемь") == "4312264128"
 
 
+def test_numbers_beside_numbers():
+    def got(text):
+        return {(k, text[a:b]) for k, a, b, *_ in pii.spans(text) if k in ("phone", "id_number")}
+    assert {("id_number", "100-561-811-47"), ("phone", "8 (975) 830 48 73")} <= got("снилс 100-561-811-47. 8 (975) 830 48 73")
+    assert ("phone", "8-973-485-56-63") in got("квартира 150. 8-973-485-56-63") and ("phone", "79748179883") in got("кв. 254\n79748179883")
+    assert {("phone", "89751397888")} <= got("кв 54. 89751397888") & got("дом 5 89751397888") & got("89751397888 2020 12 31")
+    three = got("100-561-811-47 8 (975) 830 48 73 45 07 123456")
+    assert {("id_number", "100-561-811-47"), ("phone", "8 (975) 830 48 73"), ("id_number", "45 07 123456")} <= three
+    assert {("phone", f"897513978{n}") for n in range(10, 40)} <= got(" ".join(f"897513978{n}" for n in range(10, 40)))
+    assert ("id_number", "4512\n123456") in got("паспорт 4512\n123456") and not got("трек 12345678901234")
+    assert {("id_number", "45 07\n123456"), ("phone", "89751397888")} <= got("паспорт 45 07\n123456\n89751397888")
+
+
 def test_personal_information(spark):
     rng = random.Random(1)
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
