@@ -6,7 +6,9 @@ rest are joins in SQL over the words of all photos:
 * misrecognition: the anagram hash of a word is the sum of its letters' hashes; a word less one letter
   has the hash less that letter's.  Rare words meet frequent ones at equal reduced hashes, which finds
   all pairs one substitution apart; the substitution must be one that readers confuse, and the most
-  frequent variant is the correction.  Words that mix scripts or digits are folded first.
+  frequent variant is the correction.  Words that mix scripts or digits are folded first.  Counts are
+  of distinct texts, and only their ratio decides; where it is near, a form whose neighbours are
+  not those of the frequent one is a word of its own;
 * hyphenation: evidence is the words' counts, joined against hyphenated;
 * running headers: lines of one message that agree after confusable letters are folded to classes and
   that stand on two photos, found by the smallest and largest photo of each (message, line) group.
@@ -24,6 +26,10 @@ from pyspark.sql import functions as F
 from lorespark.session import Stage
 
 MIN_CONF = 0.6
+#: Distinct texts with the frequent form per text with the rare one: at least NEAR, or FAR for words of up to three letters.
+#: Below FAR, the share of the rare form's neighbours that the frequent form has too must be OWN at least; as if of
+#: three neighbours two had been seen with both before, so that the ratio alone decides on a form with hardly any.
+NEAR, FAR, OWN = 3, 10, 0.4
 # Signs that stand for a Cyrillic letter inside a Cyrillic word.
 LOOKALIKES = {"0": "о", "1": "л", "3": "з", "4": "ч", "6": "б", "7": "т", "8": "в", "a": "а", "b": "в", "c": "с", "e": "е", "h": "н", "k": "к", "m": "т", "o": "о", "p": "р",
               "t": "т", "x": "х", "y": "у", "u": "и", "n": "п", "l": "л", "r": "г", "s": "ѕ"}
@@ -86,8 +92,8 @@ def number_lines(lines: list[str]) -> list[int]:
     return out
 
 
-def take_apart(text: str) -> tuple[list[str], list[tuple[str, str, str]], list[str], bool, bool]:
-    """(words, hyphenated (joined, compound, tail), line keys, page of running text, has a page number)."""
+def take_apart(text: str) -> tuple[list[str], list[tuple[str, str, str]], list[str], bool, bool, str]:
+    """(words, hyphenated (joined, compound, tail), line keys, page of running text, has a page number, words in order)."""
     cut = []
     for m in _CUT.finditer(text):
         a, b = tidy(m[1]), tidy(m[3])
@@ -95,14 +101,15 @@ def take_apart(text: str) -> tuple[list[str], list[tuple[str, str, str]], list[s
             continue
         cut.append((a + b, f"{a}-{b}", b))
     joined = _CUT.sub(lambda m: m[1] + m[3], text)
-    words = sorted({w for w in map(tidy, _WORD.findall(joined)) if any(c.isalpha() for c in w)} | {p for w in map(tidy, _WORD.findall(joined)) if "-" in w for p in w.split("-") if len(p) > 1})
+    run = list(map(tidy, _WORD.findall(joined)))
+    words = sorted({w for w in run if any(c.isalpha() for c in w)} | {p for w in run if "-" in w for p in w.split("-") if len(p) > 1})
     lines = re.split(r"\r?\n", text)
     page = is_page(lines)
     keys = [k for x in lines if len(x.split()) >= 2 and len(k := line_key(x)) >= 8] if page else []
-    return words, cut, sorted(set(keys)), page, page and bool(number_lines(lines))
+    return words, cut, sorted(set(keys)), page, page and bool(number_lines(lines)), " ".join(run)
 
 
-_PARTS = "attachment_id long, message_id long, words array<string>, cuts array<struct<joined: string, compound: string, tail: string>>, keys array<string>, paged boolean, numbered boolean, good boolean"
+_PARTS = "attachment_id long, message_id long, words array<string>, cuts array<struct<joined: string, compound: string, tail: string>>, keys array<string>, paged boolean, numbered boolean, run string, good boolean, h long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +118,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [take_apart(t) for t in b.column(2).to_pylist()]
         cuts = [[{"joined": j, "compound": c, "tail": t} for j, c, t in r[1]] for r in rows]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array(cuts, kind), pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                                          pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows]), b.column(3)], ["attachment_id", "message_id", "words", "cuts", "keys", "paged", "numbered", "good"])
+                                          pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows]), pa.array([r[5] for r in rows], pa.string()), b.column(3), b.column(4)],
+                                         ["attachment_id", "message_id", "words", "cuts", "keys", "paged", "numbered", "run", "good", "h"])
 
 
 def parts(photos: DataFrame) -> DataFrame:
     """The taken-apart texts, written once.  good marks the photos that are judged: ok and read well enough."""
     src = photos.select(F.col("attachment_id").cast("long"), F.col("message_id").cast("long"), F.col("ocr_text").alias("text"),
-                        F.coalesce((F.col("status") == "ok") & (F.col("ocr_conf") >= F.lit(MIN_CONF).cast("float")), F.lit(False)).alias("good"))
+                        F.coalesce((F.col("status") == "ok") & (F.col("ocr_conf") >= F.lit(MIN_CONF).cast("float")), F.lit(False)).alias("good"), F.xxhash64("ocr_text").alias("h"))
     return Stage(photos.sparkSession, "ocr").cut(src.where("attachment_id is not null and trim(text) <> ''").mapInArrow(_parse, _PARTS))
 
 
@@ -126,7 +134,8 @@ def corrections(taken: DataFrame) -> DataFrame:
     spark = taken.sparkSession
     stage = Stage(spark, "ocr-words")
     mixed, fold = F.udf(is_mixed, "boolean"), F.udf(unmix, "string")
-    vocab = stage.cut(taken.where("good").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    once = taken.where("good").dropDuplicates(["h"])  # copies of a text are no further evidence
+    vocab = stage.cut(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     vocab = stage.cut(vocab.withColumn("mixed", mixed("word")).withColumn("plain", F.when(F.col("mixed"), fold("word")).otherwise(F.col("word"))))
     clean = vocab.where(~F.col("mixed")).select(F.col("word").alias("plain"), F.col("n").alias("n_correct"))
     by_sign = (vocab.where("mixed").join(clean, "plain", "left").where("n_correct is not null or (length(word) >= 5 and not word rlike '^[0-9]')")
@@ -134,21 +143,37 @@ def corrections(taken: DataFrame) -> DataFrame:
     clean.where("plain rlike '^[а-я]{2,}$'").createOrReplaceTempView("__ocr_vocab")
     pairs = {(a, b) for a, b in ((p[0], p[1]) for p in CONFUSED)} | {(b, a) for a, b in ((p[0], p[1]) for p in CONFUSED)}
     spark.createDataFrame(sorted(pairs), "a string, b string").createOrReplaceTempView("__ocr_confused")  # a fixed list
-    by_letter = spark.sql("""
+    met = stage.cut(spark.sql(f"""
         WITH hashed AS (
           SELECT plain, n_correct AS n, aggregate(split(plain, ''), 0L, (s, c) -> s + pmod(xxhash64(c), 1099511627776L)) AS anagram FROM __ocr_vocab),
         reduced AS (
           SELECT plain, n, length(plain) AS len, c AS letter, anagram - pmod(xxhash64(c), 1099511627776L) AS key
-          FROM hashed LATERAL VIEW explode(array_distinct(split(plain, ''))) AS c),
-        met AS (
-          SELECT DISTINCT r.plain AS word, r.n, f.plain AS correction, f.n AS n_correct
-          FROM reduced r JOIN reduced f ON r.key = f.key AND r.len = f.len AND f.n >= IF(r.n = 1, 3, 10 * r.n) AND f.n >= IF(r.len <= 3, 12, 3)
+          FROM hashed LATERAL VIEW explode(array_distinct(split(plain, ''))) AS c)
+        SELECT DISTINCT r.plain AS word, r.n, f.plain AS correction, f.n AS n_correct
+          FROM reduced r JOIN reduced f ON r.key = f.key AND r.len = f.len AND f.n >= r.n * IF(r.len <= 3, {FAR}, {NEAR})
           JOIN __ocr_confused k ON k.a = f.letter AND k.b = r.letter
-          WHERE levenshtein(r.plain, f.plain) = 1)
-        SELECT word, max_by(correction, struct(n_correct, correction)) AS correction, first(n) AS n, max(n_correct) AS n_correct FROM met GROUP BY word""")
+          WHERE levenshtein(r.plain, f.plain) = 1"""))
+    far = F.col("n_correct") >= FAR * F.col("n")
+    by_letter = (met.where(far).unionByName(_at_home(once, met.where(~far))).groupBy("word")
+                 .agg(F.max_by("correction", F.struct("n_correct", "correction")).alias("correction"), F.first("n").alias("n"), F.max("n_correct").alias("n_correct")))
     return stage.cut(by_sign.unionByName(by_letter))
 
 
+def _at_home(once: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (word, n, correction, n_correct) whose word has its correction's neighbours in the texts."""
+    asked = pairs.select(F.col("word").alias("form")).union(pairs.select("correction")).distinct()
+    two = once.select(F.split("run", " ").alias("t")).where("size(t) > 1").select(
+        F.explode(F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("a"), F.expr("slice(t, 2, size(t) - 1)").alias("b"))).alias("x"))
+    after = two.select(F.col("x.a").alias("form"), F.lit(1).alias("side"), F.col("x.b").alias("other"))
+    before = two.select(F.col("x.b").alias("form"), F.lit(-1).alias("side"), F.col("x.a").alias("other"))
+    beside = Stage(once.sparkSession, "ocr-beside").cut(after.unionByName(before).join(asked, "form", "left_semi").groupBy("form", "side", "other").agg(F.count("*").alias("k")))
+    theirs = beside.select(F.col("form").alias("correction"), "side", "other", F.lit(True).alias("both"))
+    seen = (pairs.select("word", "correction").join(beside.withColumnRenamed("form", "word"), "word").join(theirs, ["correction", "side", "other"], "left")
+            .groupBy("word", "correction").agg(F.sum("k").alias("k"), F.sum(F.when(F.col("both"), F.col("k")).otherwise(0)).alias("shared")))
+    kept = pairs.join(seen, ["word", "correction"], "left").where((F.coalesce("shared", F.lit(0)) + 2) / (F.coalesce("k", F.lit(0)) + 3) >= OWN)
+    return kept.select(*pairs.columns)
+
+
 def noise(photos: DataFrame) -> DataFrame:
     """(attachment_id, kind) for photos with status ok and confidence of at least 0.6, one row per kind of noise.
 

@@ -118,6 +118,19 @@ def test_ocr(spark):
     assert all("—" not in text[i] for i, *_, n in rows if n) and ocr.noise(df.limit(0)).count() == 0
 
 
+def test_misread_forms_do_not_hang_on_counts(spark):
+    def fixes(times, copies=1):
+        rows = []
+        for r in range(times):  # "дсревня" stands among the neighbours of "деревня", "лечь" stands beside other words than "печь"
+            texts = [f"длинная деревня ведет к реке {r} {k}" for k in range(4)] + [f"длинная дсревня ведет к реке {r}"] + [f"топить печь дровами {r} {k}" for k in range(4)] + [f"хочу лечь спать {r}"]
+            rows += [(len(texts) * r + i, t) for i, t in enumerate(texts)]
+        rows = [(c * 10_000 + i, 1, "ok", 0.9, t) for c in range(copies) for i, t in rows]
+        df = spark.createDataFrame(rows, "attachment_id long, message_id long, status string, ocr_conf float, ocr_text string")
+        return {r.word: r.correction for r in ocr.corrections(ocr.parts(df)).collect()}
+    assert fixes(1)["дсревня"] == fixes(1, copies=2)["дсревня"] == "деревня"
+    assert fixes(2) == fixes(6) == fixes(6, copies=3) == {"дсревня": "деревня"}
+
+
 def test_compounds_keep_their_hyphen():
     assert ocr.repair("он купил чёрно-\nбелый фильм и пошёл домой\nсмотреть его один вечером", {}, set(), {"черно-белый"}) == "он купил чёрно-белый фильм и пошёл домой смотреть его один вечером"
 
