@@ -609,13 +609,12 @@ _PAGE = """SELECT peer_id, vk_msg_id, arg_min(epoch_us(sent_at) // 1000000, id)
 
 @query(_PAGE)
 def html_messages(s, d):
-    """Messages written as archive pages and read back."""
+    """All messages written as archive pages and read back; the SQL says so only for texts of ASCII and Cyrillic."""
     from lorespark.functions.dates import MONTHS
-    m = T(s, d, "messages").where(~F.col("text").rlike(r"[^\x{20}-\x{7e}\x{400}-\x{4ff}\n]"))
-    m = merge.first_seen(m, ["peer_id", "vk_msg_id"], [F.asc("id")])
+    m = merge.first_seen(T(s, d, "messages"), ["peer_id", "vk_msg_id"], [F.asc("id")])
     msk = F.from_utc_timestamp(F.timestamp_micros(US("sent_at")), "Europe/Moscow")
     day = F.concat(F.day(msk), F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in MONTHS]), F.month(msk)), F.lit(" "), F.year(msk), F.lit(" в "), F.hour(msk), F.lit(":"), F.date_format(msk, "mm:ss"))
-    esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    esc = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     who = F.when(F.col("is_own"), "Вы").otherwise("<a href=\"https://host.example/id1\">Имя</a>")
     body = F.concat(F.lit('<div class="message" data-id="'), F.col("vk_msg_id"), F.lit('"><div class="message__header">'), who, F.coalesce(F.concat(F.lit(", "), day), F.lit("")), F.lit("</div><div>"), esc, F.lit('<div class="kludges"></div></div></div>'))
     pages = m.withColumn("b", body).groupBy("peer_id", F.concat("page_file", F.lit("-"), F.floor(F.col("vk_msg_id") / 50)).alias("page_file")).agg(F.concat(F.lit("<html>"), F.array_join(F.collect_list("b"), "\n"), F.lit("</html>")).alias("html"))

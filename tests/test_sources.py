@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
 import json
+import re
 import struct
 
 from pyspark.sql import functions as F
 
+from lorespark.plans import archive
 from lorespark.schemas import SCHEMAS
 from lorespark.sources import files, html, media
 from lorespark.streaming.ingest import Snapshot, merge_stream, session_windows
@@ -35,6 +39,18 @@ def test_archive_pages(spark, tmp_path):
     assert {(r.peer_id, r.name) for r in html.read_index(spark, str(tmp_path / "index-messages.html")).collect()} == {(5, "Три"), (-7, "Два")}
 
 
+def test_all_messages_go_through_pages(spark, tmp_path):
+    texts = ["просто", "тире — и «кавычки»…", "смех 😀 № 5", "\u00a0край\u00a0и\u00a0середина\u00a0", "a <b> & c", "две\nстроки", "", None, "naïve 中文"]
+    data = [(i, 5, 100 + i, dt.datetime(2020, 1, 1, 12), i % 2 == 0, t, "messages0.html") for i, t in enumerate(texts)]
+    data += [(50, 5, 100, dt.datetime(2021, 1, 1), False, "повтор", "messages0.html"), (51, -7, 100, None, False, "без даты…", "messages0.html")]
+    spark.createDataFrame(data, "id long, peer_id long, vk_msg_id long, sent_at timestamp, is_own boolean, text string, page_file string").write.parquet(str(tmp_path / "messages.parquet"))
+    got = {(r.peer_id, r.vk_msg_id): (r.at_s, r.is_own, r.digest) for r in archive.html_messages(spark, str(tmp_path)).collect()}
+    at = int(dt.datetime(2020, 1, 1, 12, tzinfo=dt.UTC).timestamp())
+    digest = lambda t: hashlib.md5(re.sub(r"\s", "", (t or "").strip(), flags=re.A).encode()).hexdigest()
+    want = {(5, 100 + i): (at, i % 2 == 0, digest(t)) for i, t in enumerate(texts)} | {(-7, 100): (None, False, digest("без даты…"))}
+    assert got == want
+
+
 def test_files(spark, tmp_path):
     t = tmp_path / "transcripts"
     t.mkdir()
