@@ -260,6 +260,38 @@ def containing(docs: DataFrame, needles: DataFrame, doc_id: str = "doc_id", text
     return docs.select(doc_id, text).mapInPandas(run, f"{doc_id} long, item_id long")
 
 
+def sharing(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 13) -> DataFrame:
+    """(doc_id, item_id) for each stated passage (item_id, passage), a fixed set, with which a text shares ``least`` consecutive words, or all of a shorter one.
+
+    Words are runs of letters or digits in lower case, ё as е, without soft hyphens and zero-width spaces; what stands between them does not matter.
+    """
+    def words(t: str) -> list[str]:
+        return re.findall(r"[^\W_]+", re.sub("[\u00ad\u200b\u200c\u200d\u2060\ufeff]", "", t).lower().replace("ё", "е"))
+
+    stated: dict[int, dict[str, set[int]]] = {}
+    for i, t in passages.collect():
+        w = words(t or "")
+        n = min(least, len(w))
+        for x in range(len(w) - n + 1 if n else 0):
+            stated.setdefault(n, {}).setdefault(" ".join(w[x: x + n]), set()).add(i)
+    first = {n: {k.split(" ", 1)[0] for k in runs} for n, runs in stated.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple[int, int]] = []
+            for d, t in zip(pdf[doc_id], pdf[text], strict=True):
+                w = words(t)
+                found: set[int] = set()
+                for n, runs in stated.items():
+                    for x in range(len(w) - n + 1):
+                        if w[x] in first[n] and (ids := runs.get(" ".join(w[x: x + n]))):
+                            found |= ids
+                out += [(d, i) for i in found]
+            yield pd.DataFrame(out, columns=[doc_id, "item_id"]).astype("int64")
+
+    return docs.select(doc_id, text).mapInPandas(run, f"{doc_id} long, item_id long")
+
+
 def metrics(ranks: DataFrame, n_cases: int | Column, group: list[str]) -> DataFrame:
     """MRR, hits at 1 and 5, misses; ranks: one row per case, null rank for a miss."""
     r = F.col("rank")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.operators import analytics, asr, chunking, export, joins, merge, retrieval
+from lorespark.plans import archive
 from lorespark.providers import HashEmbedder, OverlapScorer, checked_scores, checked_vectors, embed_column, retried
 
 T0 = dt.datetime(2020, 1, 1, 12)
@@ -34,6 +35,17 @@ def test_merges(spark):
     assert rows(merge.violations(old.unionByName(old), ["k"], {"s": ("a",)})) == [("check s", 2), ("unique k", 2)]
 
 
+def test_all_items_are_cases(spark, tmp_path):
+    w = [f"слово{i}" for i in range(30)]
+    items = [(1, "слово0 слово1", " ".join(w)), (2, "слово5", " ".join(["начало"] * 9 + w[5:20])), (3, "нигде", "нет такого места ни в одном из документов этого собрания вообще никогда"), (4, "слово1", "Ещё слово1")]
+    docs = [(10, " ".join(w)), (11, "\n".join(w[5:18]).upper()), (12, "слово5 " + " ".join(w[6:17])), (13, None), (14, "тут еще,  слово1!")]
+    spark.createDataFrame(items, "item_id long, question string, passage string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = archive.eval_mrr(spark, str(tmp_path)).first()
+    # item 1 finds 10 first; item 2 aims at 10 and 11; item 4 at 14, behind 10; item 3 has no target
+    assert (r.cases, r.misses, r.no_target, r.top1, r.top5) == (4, 1, 1, 2, 3) and r.mrr == round((1 + 1 + 0.5) / 4, 6)
+
+
 def test_joins(spark):
     left = spark.createDataFrame([(1, 2010), (1, 2015), (1, None), (2, 2010)], "p long, y int")
     right = spark.createDataFrame([(1, 2012, "a"), (1, 2014, "b")], "p long, f int, d string")
