@@ -1,14 +1,20 @@
 """Most similar vectors for every vector: score-aware quantisation, four-bit table scans, exact reranking.
 
 1. Exact copies of a vector are folded into one representative, so a mass of copies costs nothing.
-2. A bounded sample fits a two-level tree of cells and the codebooks.  The codebooks minimise the
-   anisotropic loss |e|^2 + (eta - 1) (e . x)^2, which weighs the part of the residual e that is
-   parallel to the vector x by eta, as the parallel part is what disturbs the largest inner products.
-3. Every vector joins its ``spill`` nearest cells.  Within a cell, every member's codes (two dimensions
-   per four bits) are scanned with the tables of every other member; the ``rerank`` best are compared
-   exactly.  A cell of more than ``max_cell`` rows is cut into blocks, and all pairs of its blocks are
-   scanned, so no cell is ever held by one task and none is truncated.
-4. The partial lists of a vector's cells are merged to its k best.
+2. A bounded sample fits the cells and the codebooks.  The codebooks minimise the anisotropic loss
+   |e|^2 + (eta - 1) (e . x)^2, which weighs the part of the residual e that is parallel to the vector x
+   by eta, as the parallel part is what disturbs the largest inner products.
+3. Every vector has one home cell.  All vectors are counted; cells of more than twice ``cell_rows`` are
+   divided by leaves that are fitted per cell, in parallel, so the tree grows with the data and with
+   its dense spots.
+4. ``CALIBRATION`` vectors are compared exactly with all others.  From their true neighbours come the
+   number of cells that a query has to probe for ``recall``, and how far a table score may fall below
+   the exact one.  Nothing of this is a constant, so it holds as cells grow in number.
+5. Every vector is sent as a query to the cells it probes and scanned with its tables (two dimensions
+   per four bits) over the members' codes.  The exact score of its best candidates bounds the k-th best;
+   all members whose table score may reach that bound are compared exactly.
+6. A cell that is still large is cut into blocks of members and of queries, each pair of blocks a task.
+   The lists of a query's cells are merged to its k best.
 """
 
 from __future__ import annotations
@@ -24,9 +30,16 @@ from pyspark.sql import functions as F
 
 from lorespark.session import Stage
 
-#: Rows that the tree and the codebooks are fitted on, at most.
+#: Rows that the cells and the codebooks are fitted on, at most.
 SAMPLE_ROWS = 32768
 CODEBOOK_ROWS = 8192
+#: Rows of one divided cell that its leaves are fitted on, at most.
+LEAF_ROWS = 65536
+#: Vectors compared with all others to set the probes and the slack.
+CALIBRATION = 512
+#: Share of true neighbours whose table score may fall below the slack.
+SLACK_MISS = 0.001
+STEPS = 4000  # levels of one table's scores; 16 of them fit 16 bits
 
 
 def matrix(col: pa.ChunkedArray | pa.Array, dtype=np.float32) -> np.ndarray:
@@ -63,13 +76,15 @@ def _packer(dim: int):
     return pack
 
 
+def packed(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    """(id, vec): the sound vectors as bytes."""
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInArrow(_packer(dim), "id long, vec binary")
+
+
 def kmeans(x: np.ndarray, k: int, iters: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(iters):
-        score = x @ c.T
-        if not spherical:
-            score -= 0.5 * (c * c).sum(1)
-        a = score.argmax(1)
+        a = np.concatenate([(x[lo: lo + 4096] @ c.T - (0 if spherical else 0.5 * (c * c).sum(1))).argmax(1) for lo in range(0, len(x), 4096)])
         n = np.bincount(a, minlength=k)
         for d in range(x.shape[1]):
             s = np.bincount(a, x[:, d], k)
@@ -79,6 +94,10 @@ def kmeans(x: np.ndarray, k: int, iters: int, rng: np.random.Generator, spherica
     return c
 
 
+def _best(scores: np.ndarray, w: int) -> np.ndarray:
+    return np.argpartition(-scores, w - 1, axis=1)[:, :w] if w < scores.shape[1] else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+
+
 @dataclass
 class Model:
     coarse: np.ndarray  # [c, d]
@@ -86,56 +105,65 @@ class Model:
     starts: np.ndarray  # [c + 1], the leaves of each coarse cell
     books: np.ndarray  # [m, 16, 2]
     eta: float
+    slack: float = 0.0  # by how much a table score may fall below the exact one
+
+    def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest leaves of every row, nearest first, -1 where there are fewer.
 
-    def cells(self, x: np.ndarray, spill: int, beam: int = 3) -> np.ndarray:
-        """The ``spill`` nearest leaves of every row, -1 where there are fewer."""
+        Leaves are looked for in the nearest coarse cells: twice as many as probes and six more.
+        """
         n, c = len(x), len(self.coarse)
-        beam = min(beam, c)
-        s = x @ self.coarse.T
-        top = np.argpartition(-s, beam - 1, axis=1)[:, :beam] if beam < c else np.tile(np.arange(c), (n, 1))
+        if len(self.leaves) == c:
+            z = x @ self.leaves.T
+            at = _best(z, min(probes, c))
+            at = np.take_along_axis(at, np.lexsort((at, -np.take_along_axis(z, at, 1)), axis=1), 1)
+            return np.pad(at.astype(np.int32), ((0, 0), (0, probes - at.shape[1])), constant_values=-1)
+        top = _best(x @ self.coarse.T, min(2 * probes + 6, c))
         rows, leaf, sims = [], [], []
-        for k in range(c):
+        for k in np.unique(top):
             r = np.nonzero((top == k).any(1))[0]
             lo, hi = self.starts[k], self.starts[k + 1]
-            if not len(r) or lo == hi:
+            if lo == hi:
                 continue
             z = x[r] @ self.leaves[lo:hi].T
-            w = min(spill, hi - lo)
-            best = np.argpartition(-z, w - 1, axis=1)[:, :w] if w < hi - lo else np.tile(np.arange(w), (len(r), 1))
-            rows.append(np.repeat(r, w))
+            best = _best(z, min(probes, hi - lo))
+            rows.append(np.repeat(r, best.shape[1]))
             leaf.append((best + lo).ravel())
             sims.append(np.take_along_axis(z, best, 1).ravel())
-        out = np.full((n, spill), -1, np.int32)
+        out = np.full((n, probes), -1, np.int32)
         if rows:
             rows, leaf, sims = np.concatenate(rows), np.concatenate(leaf), np.concatenate(sims)
             o = np.lexsort((leaf, -sims, rows))
             rows, leaf = rows[o], leaf[o]
             rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            keep = rank < spill
+            keep = rank < probes
             out[rows[keep], rank[keep]] = leaf[keep]
         return out
 
     def encode(self, x: np.ndarray, leaf: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Four-bit codes by coordinate descent on the anisotropic loss."""
-        m = len(self.books)
+        m, n = len(self.books), len(x)
         xs, r = _halves(x, m), _halves(x - self.leaves[leaf], m)
-        codes = np.zeros((len(x), m), np.uint8)
-        par = np.zeros(len(x))
+        codes, par, row = np.zeros((n, m), np.uint8), np.zeros(n, np.float32), np.arange(n)
+        size, along = [], []  # of the error, and of its part along x, for each of the 16 words
         for j in range(m):
-            e = r[:, j, None, :] - self.books[j]
-            codes[:, j] = (e * e).sum(2).argmin(1)
-            par += (np.take_along_axis(e, codes[:, j, None, None].astype(np.int64), 1)[:, 0] * xs[:, j]).sum(1)
+            b = self.books[j]
+            size.append((b * b).sum(1) - 2 * r[:, j] @ b.T)
+            along.append((xs[:, j] * r[:, j]).sum(1, keepdims=True) - xs[:, j] @ b.T)
+            codes[:, j] = size[j].argmin(1)
+            par += along[j][row, codes[:, j]]
         for _ in range(sweeps):
             for j in range(m):
-                e = r[:, j, None, :] - self.books[j]
-                along = np.einsum("nkd,nd->nk", e, xs[:, j])
-                now = np.take_along_axis(along, codes[:, j, None].astype(np.int64), 1)
-                p = (par[:, None] - now) + along
-                best = ((e * e).sum(2) + (self.eta - 1) * p * p).argmin(1)
-                par = np.take_along_axis(p, best[:, None], 1)[:, 0]
+                p = (par - along[j][row, codes[:, j]])[:, None] + along[j]
+                best = (size[j] + (self.eta - 1) * p * p).argmin(1)
+                par = p[row, best]
                 codes[:, j] = best
         return codes
 
+    def decode(self, codes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        d = self.leaves.shape[1]
+        return self.leaves[leaf] + np.concatenate([self.books[j][codes[:, j]] for j in range(len(self.books))], 1)[:, :d]
+
 
 def _halves(x: np.ndarray, m: int) -> np.ndarray:
     if x.shape[1] < 2 * m:
@@ -143,29 +171,16 @@ def _halves(x: np.ndarray, m: int) -> np.ndarray:
     return x.reshape(len(x), m, 2)
 
 
-def fit(x: np.ndarray, n_total: int, cell_rows: int, threshold: float = 0.2, seed: int = 7) -> Model:
-    """Tree and codebooks from a sample of unit vectors.  eta follows from the score threshold."""
+def fit_cells(x: np.ndarray, n_total: int, cell_rows: int, seed: int = 7) -> np.ndarray:
+    k = max(1, min(math.ceil(n_total / cell_rows), len(x) // 16))
+    return kmeans(x, k, 10, np.random.default_rng(seed), True).astype(np.float32)
+
+
+def fit_books(x: np.ndarray, model: Model, seed: int = 7) -> None:
+    """Codebooks of the residuals to the leaves, from a sample of unit vectors."""
     rng = np.random.default_rng(seed)
-    n, d = x.shape
-    k = max(1, min(math.ceil(n_total / cell_rows), n // 8))
-    if k <= 64:
-        coarse = kmeans(x, k, 10, rng, True)
-        leaves, starts = coarse, np.arange(k + 1)
-    else:
-        coarse = kmeans(x, int(math.sqrt(k)), 10, rng, True)
-        home = (x @ coarse.T).argmax(1)
-        parts, starts = [], [0]
-        for c in range(len(coarse)):
-            own = x[home == c]
-            want = max(1, min(round(k * len(own) / n), len(own)))
-            parts.append(kmeans(own, want, 8, rng, True) if len(own) > want else (own if len(own) else coarse[c: c + 1]))
-            starts.append(starts[-1] + len(parts[-1]))
-        leaves, starts = np.concatenate(parts), np.array(starts)
-    m = (d + 1) // 2
-    eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
-    model = Model(coarse.astype(np.float32), leaves.astype(np.float32), starts, np.zeros((m, 16, 2), np.float32), eta)
-    x = x[rng.permutation(n)[:CODEBOOK_ROWS]]
-    leaf = model.cells(x, 1)[:, 0]
+    x = x[rng.permutation(len(x))[:CODEBOOK_ROWS]]
+    m, eta, leaf = len(model.books), model.eta, model.cells(x, 1)[:, 0]
     xs, r = _halves(x, m), _halves(x - model.leaves[leaf], m)
     for j in range(m):
         c = kmeans(r[:, j], min(16, len(x)), 8, rng, False)
@@ -186,50 +201,143 @@ def fit(x: np.ndarray, n_total: int, cell_rows: int, threshold: float = 0.2, see
                 model.books[j, k16] = np.linalg.solve(lhs, rhs)
             e[:, j] = r[:, j] - model.books[j][codes[:, j]]
             par = rest + (e[:, j] * xs[:, j]).sum(1)
-    return model
 
 
-def scan(model: Model, leaf: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+def new_model(coarse: np.ndarray, leaves: np.ndarray | None = None, starts: np.ndarray | None = None, threshold: float = 0.2) -> Model:
+    """A model without codebooks yet.  eta follows from the score threshold."""
+    d = coarse.shape[1]
+    leaves = coarse if leaves is None else leaves
+    starts = np.arange(len(coarse) + 1) if starts is None else starts
+    return Model(coarse, leaves, starts, np.zeros(((d + 1) // 2, 16, 2), np.float32), max(1.0, (d - 1) * threshold**2 / (1 - threshold**2)))
+
+
+def _tables(model: Model, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of two codes each, [pairs, 256, queries] of 16-bit levels; a level's score and the score of level 0."""
+    lut = np.einsum("qmd,mkd->mkq", _halves(q, len(model.books)), model.books)
+    if len(lut) % 2:
+        lut = np.concatenate([lut, np.zeros_like(lut[:1])])
+    two = (lut[0::2][:, :, None, :] + lut[1::2][:, None, :, :]).reshape(len(lut) // 2, 256, len(q))
+    low = two.min(1, keepdims=True)
+    step = np.maximum((two - low).max((0, 1)), 1e-9) / min(STEPS, 65535 // len(two))
+    return ((two - low) / step + 0.5).astype(np.uint16), step, low.sum((0, 1))
+
+
+def scan(model: Model, leaf: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """The k best rows of x for every row of q: table scan, then exact.  id -1 where there are fewer."""
-    m = len(model.books)
-    codes = model.encode(x.astype(np.float32), np.full(len(x), leaf))
-    if m % 2:
+    x32, n = x.astype(np.float32), len(x)
+    codes = model.encode(x32, np.full(n, leaf))
+    if codes.shape[1] % 2:
         codes = np.pad(codes, ((0, 0), (0, 1)))
-    pair = codes[:, 0::2] * np.uint8(16) + codes[:, 1::2]
-    books = model.books if m % 2 == 0 else np.concatenate([model.books, np.zeros((1, 16, 2), np.float32)])
+    pair = np.ascontiguousarray((codes[:, 0::2] * np.uint8(16) + codes[:, 1::2]).T.astype(np.intp))
     out_id, out_s = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf)
-    r = min(rerank, len(x))
-    for lo in range(0, len(q), 64):
-        qq = q[lo: lo + 64]
-        lut = np.einsum("qmd,mkd->mkq", _halves(qq.astype(np.float32), len(books)), books)
-        acc = np.zeros((len(x), len(qq)), np.float32)
-        for p in range(pair.shape[1]):
-            acc += (lut[2 * p][:, None, :] + lut[2 * p + 1][None, :, :]).reshape(256, -1)[pair[:, p]]
+    first, tmp = min(2 * k, n), np.empty((n, at_once), np.uint16)
+    for lo in range(0, len(q), at_once):
+        qq, own = q[lo: lo + at_once], q_ids[lo: lo + at_once]
+        w = len(qq)
+        tab, step, zero = _tables(model, qq.astype(np.float32))
+        acc = np.take(tab[0], pair[0], axis=0)
+        for p in range(1, len(pair)):
+            acc += np.take(tab[p], pair[p], axis=0, out=tmp[:, :w] if w == at_once else None, mode="clip")
         acc = np.ascontiguousarray(acc.T)
-        acc[q_ids[lo: lo + 64, None] == ids[None, :]] = -np.inf
-        cand = np.argpartition(-acc, r - 1, axis=1)[:, :r] if r < len(x) else np.tile(np.arange(len(x)), (len(qq), 1))
-        s = np.einsum("qd,qrd->qr", qq, x[cand])
-        cid = ids[cand]
-        s[cid == q_ids[lo: lo + 64, None]] = -np.inf
-        o = np.lexsort((cid, -s), axis=1)[:, :k]
-        s, cid = np.take_along_axis(s, o, 1), np.take_along_axis(cid, o, 1)
-        cid[np.isneginf(s)] = -1
-        out_id[lo: lo + 64, : s.shape[1]], out_s[lo: lo + 64, : s.shape[1]] = cid, s
+        zero = zero + qq.astype(np.float32) @ model.leaves[leaf]
+
+        def exact(mask: np.ndarray, qq=qq, own=own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            r, c = np.nonzero(mask)
+            other = own[r] != ids[c]
+            r, c = r[other], c[other]
+            s = np.concatenate([np.einsum("pd,pd->p", qq[r[a: a + 65536]], x[c[a: a + 65536]]) for a in range(0, len(r), 65536)]) if len(r) else np.zeros(0)
+            o = np.lexsort((ids[c], -s, r))
+            r, c, s = r[o], c[o], s[o]
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            keep = rank < k
+            return r[keep] * k + rank[keep], c[keep], s[keep]
+
+        # the best candidates' exact scores bound the k-th best from below
+        at, _, s = exact(acc >= np.partition(acc, n - first, axis=1)[:, n - first, None])
+        bound = np.full((w, k), -2.0)
+        bound.ravel()[at] = s
+        level = np.floor((bound[:, -1] - model.slack - zero) / step) - len(pair) / 2  # table levels are rounded
+        at, c, s = exact(acc >= np.clip(level, 0, 65535).astype(np.uint16)[:, None])
+        out_id[lo: lo + w].ravel()[at], out_s[lo: lo + w].ravel()[at] = ids[c], s
     return out_id, out_s
 
 
-def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, spill: int = 3, cell_rows: int = 400,
-            max_cell: int = 4096, rerank: int = 48, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def exact_nearest(sound: DataFrame, queries: pa.Table, k: int) -> DataFrame:
+    """(id, neighbour, similarity, vec): the exact k most similar of all sound vectors to each of a bounded set of queries (id, vec).
+
+    The queries are broadcast; every partition keeps their k best and the lists are merged.
+    """
+    shared = sound.sparkSession.sparkContext.broadcast((queries.column("id").to_numpy(), unit(matrix(queries.column("vec")))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = shared.value
+        q32 = q.astype(np.float32)
+        keep_s, keep_i, keep_v = np.full((len(q), k), -9.0), np.full((len(q), k), -1, np.int64), None
+        for b in batches:
+            raw_ids, raw = b.column(0).to_numpy(), matrix(b.column(1))
+            for lo in range(0, len(raw_ids), 4096):
+                ids, v = raw_ids[lo: lo + 4096], raw[lo: lo + 4096]
+                x = unit(v)
+                if keep_v is None:
+                    keep_v = np.zeros((len(q), k, v.shape[1]), np.float32)
+                s = q32 @ x.astype(np.float32).T
+                s[q_ids[:, None] == ids[None, :]] = -9
+                r, c = np.nonzero(s >= (keep_s[:, -1] - 1e-5)[:, None].astype(np.float32))
+                if len(r) > len(q) * k:  # far more than can stay: only each query's best
+                    cut = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k), None] - np.float32(1e-5)
+                    r, c = np.nonzero((s >= cut) & (s > -9))
+                exact = np.einsum("pd,pd->p", q[r], x[c])
+                rr = np.concatenate([r, np.repeat(np.arange(len(q)), k)])
+                ii, ss = np.concatenate([ids[c], keep_i.ravel()]), np.concatenate([exact, keep_s.ravel()])
+                vv = np.concatenate([v[c], keep_v.reshape(-1, v.shape[1])])
+                o = np.lexsort((ii, -ss, rr))
+                rank = np.arange(len(rr)) - np.searchsorted(rr[o], rr[o])
+                o = o[rank < k]
+                keep_i, keep_s, keep_v = ii[o].reshape(-1, k), ss[o].reshape(-1, k), vv[o].reshape(len(q), k, -1)
+        if keep_v is not None:
+            r, c = np.nonzero(keep_s > -9)
+            for lo in range(0, len(r), 10000):
+                a, b2 = r[lo: lo + 10000], c[lo: lo + 10000]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(keep_i[a, b2]), pa.array(keep_s[a, b2]), binary(keep_v[a, b2])], ["id", "neighbour", "similarity", "vec"])
+
+    top = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+    return sound.mapInArrow(best, "id long, neighbour long, similarity double, vec binary").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
+
+
+def calibrate(model: Model, reps: DataFrame, queries: pa.Table, k: int, recall: float) -> int:
+    """Sets the model's slack and returns the probes, from the true neighbours of the queries."""
+    true = exact_nearest(reps, queries, k).toArrow()  # CALIBRATION x k rows
+    if not true.num_rows:
+        model.slack = 1.0
+        return 1
+    at = {i: p for p, i in enumerate(queries.column("id").to_pylist())}
+    q = unit(matrix(queries.column("vec")), np.float32)[[at[i] for i in true.column("id").to_pylist()]]
+    x = unit(matrix(true.column("vec")), np.float32)
+    home = model.cells(x, 1)[:, 0]
+    miss = true.column("similarity").to_numpy() - (q * model.decode(model.encode(x, home), home)).sum(1)
+    model.slack = float(np.quantile(miss, 1 - SLACK_MISS)) + 0.005
+    probes = 1
+    while probes < len(model.leaves):
+        if (model.cells(q, probes) == home[:, None]).any(1).mean() >= recall:
+            break
+        probes += 1 if probes < 16 else probes // 8
+    return min(probes, len(model.leaves))
+
+
+def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, recall: float = 0.99, cell_rows: int = 6000,
+            max_cell: int = 16384, sample_rows: int = SAMPLE_ROWS, exact: bool = False) -> DataFrame:
     """(id, neighbour, similarity): the k most similar other vectors of every sound vector, by cosine.
 
     A vector is sound if it is not null, has ``dim`` finite values and is not all zero; others, and rows
     without id, take no part.  Ties go to the smaller id; copies of a vector are neighbours of one another
-    at similarity 1.  Fewer than k other vectors give fewer rows; an empty table gives none.
+    at similarity 1.  Fewer than k other vectors give fewer rows; an empty table gives none.  ``recall`` is
+    the share of true neighbours that the probed cells must hold; ``exact`` probes all cells and compares
+    everything exactly.
     """
     spark = vectors.sparkSession
     stage = Stage(spark, "ann")
     empty = "id long, neighbour long, similarity double"
-    sound = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInArrow(_packer(dim), "id long, vec binary")
+    sound = packed(vectors, id_col, vec_col, dim)
     rn = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     firsts = stage.cut(sound.withColumn("rn", rn).where(F.col("rn") <= k + 1)
                        .withColumn("rep", F.min("id").over(Window.partitionBy("vec"))))
@@ -237,57 +345,60 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
     n, copies = firsts.agg(F.count_if(F.col("rn") == 1), F.count_if(F.col("rn") > 1)).first()
     if n == 0:
         return spark.createDataFrame([], empty)
-    share = min(1.0, sample_rows / n)
-    sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (1 if share >= 1 else 0)).select("vec").toArrow()
-    sample = sample.slice(0, sample_rows + 4096) if sample.num_rows else reps.select("vec").limit(sample_rows).toArrow()
-    model = fit(unit(matrix(sample.column(0)), np.float32), n, cell_rows)
-    shared = spark.sparkContext.broadcast(model)  # bounded by sample_rows
-
-    def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.leaves), np.int64)
-        for b in batches:
-            if b.num_rows:
-                c = shared.value.cells(unit(matrix(b.column(1)), np.float32), spill).ravel()
-                total += np.bincount(c[c >= 0], minlength=len(total))
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
-    counts = reps.mapInArrow(count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    blocks = np.ones(len(model.leaves), np.int64)
-    blocks[counts.cell.to_numpy()] = np.ceil(counts.n.to_numpy() / max_cell).astype(np.int64)
+    def drawn(rows: int, salt: int) -> pa.Table:
+        """About ``rows`` of the representatives, by a hash of the vector."""
+        by = reps.where(F.pmod(F.xxhash64("vec", F.lit(salt)), F.lit(1 << 30)) <= int(min(1.0, rows / n) * (1 << 30)))
+        got = by.toArrow().sort_by("id")
+        return got if got.num_rows else reps.orderBy("id").limit(rows).toArrow()
+
+    sample = unit(matrix(drawn(sample_rows, 0).column("vec")), np.float32)
+    model = new_model(fit_cells(sample, n, cell_rows))
+    counted = _count(reps, model)
+    if (counted > 2 * cell_rows).any():
+        model = _divide(reps, model, counted, cell_rows)
+        counted = _count(reps, model)
+    fit_books(sample, model)
+    probes = calibrate(model, reps, drawn(CALIBRATION, 1), k, recall)
+    if exact:
+        probes, model.slack = len(model.leaves), 4.0
+    shared = spark.sparkContext.broadcast(model)  # the leaves grow as n / cell_rows: 256 bytes each, 43 MB at a billion vectors
+    base_blocks = np.maximum(1, np.ceil(counted / max_cell)).astype(np.int64)
+    query_blocks = np.maximum(1, np.ceil(_count(reps, model, probes) / max_cell)).astype(np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """role 0: query and base (one block), 1: query of that block, 2: base of that block."""
+        """Every vector as a member of a block of its home cell, and as a query of a block of each cell it probes."""
         for b in batches:
             if not b.num_rows:
                 continue
             ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-            c = shared.value.cells(unit(x, np.float32), spill)
-            row, col = np.nonzero(c >= 0)
-            cell = c[row, col].astype(np.int64)
-            nb = blocks[cell]
-            mine = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[row] % nb
-            one = nb == 1
-            out = [(row[one], cell[one], mine[one] * 0, mine[one] * 0, np.zeros(one.sum(), np.int8))]
-            for width in np.unique(nb[~one]):
-                w = np.nonzero(nb == width)[0]
-                other = np.tile(np.arange(width), len(w))
-                r, ce, mi = np.repeat(row[w], width), np.repeat(cell[w], width), np.repeat(mine[w], width)
-                out.append((r, ce, mi, other, np.ones(len(r), np.int8)))
-                out.append((r, ce, other, mi, np.full(len(r), 2, np.int8)))
+            c = shared.value.cells(unit(x, np.float32), probes)
+            mix = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            out = []
+            for query in (False, True):
+                row, col = np.nonzero(c >= 0) if query else (np.arange(len(ids)), np.zeros(len(ids), np.int64))
+                cell = c[row, col].astype(np.int64)
+                mine, others = (query_blocks, base_blocks) if query else (base_blocks, query_blocks)
+                times = others[cell]
+                r, ce = np.repeat(row, times), np.repeat(cell, times)
+                own = (mix[row] // (1 if query else 7) % mine[cell]).repeat(times)
+                other = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+                out.append((r, ce, own if query else other, other if query else own, np.full(len(r), query)))
             r, ce, qb, bb, role = (np.concatenate(z) for z in zip(*out, strict=True))
             for lo in range(0, len(r), 20000):
                 s = slice(lo, lo + 20000)
-                yield pa.RecordBatch.from_arrays([pa.array(ce[s]), pa.array(qb[s].astype(np.int32)), pa.array(bb[s].astype(np.int32)), pa.array(role[s]), pa.array(ids[r[s]]), binary(x[r[s]])],
-                                                 ["cell", "qb", "bb", "role", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(ce[s].astype(np.int32)), pa.array(qb[s].astype(np.int32)), pa.array(bb[s].astype(np.int32)), pa.array(role[s]), pa.array(ids[r[s]]), binary(x[r[s]])],
+                                                 ["cell", "qb", "bb", "query", "id", "vec"])
 
     def search(t: pa.Table) -> pa.Table:
-        leaf, role, ids, x = t.column("cell")[0].as_py(), t.column("role").to_numpy(), t.column("id").to_numpy(), unit(matrix(t.column("vec")))
-        q, base = role != 2, role != 1
-        nid, s = scan(shared.value, leaf, x[q], ids[q], x[base], ids[base], k, rerank)
-        return pa.table({"id": ids[q], "ids": binary(nid), "sims": binary(s)})
+        leaf, query, ids, x = t.column("cell")[0].as_py(), t.column("query").to_numpy(), t.column("id").to_numpy(), unit(matrix(t.column("vec")))
+        if query.all() or not query.any():
+            return pa.table({"id": ids[:0], "ids": binary(np.zeros((0, k), np.int64)), "sims": binary(np.zeros((0, k)))})
+        nid, s = scan(shared.value, leaf, x[query], ids[query], x[~query], ids[~query], k)
+        return pa.table({"id": ids[query], "ids": binary(nid), "sims": binary(s)})
 
-    parts = reps.mapInArrow(spread, "cell long, qb int, bb int, role byte, id long, vec binary").groupBy("cell", "qb", "bb").applyInArrow(search, "id long, ids binary, sims binary")
+    parts = (reps.mapInArrow(spread, "cell int, qb int, bb int, query boolean, id long, vec binary")
+             .groupBy("cell", "qb", "bb").applyInArrow(search, "id long, ids binary, sims binary"))
 
     def merge(t: pa.Table) -> pa.Table:
         nid, s = matrix(t.column("ids"), np.int64), matrix(t.column("sims"), np.float64)
@@ -295,34 +406,93 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
         nid, s = nid.ravel(), s.ravel()
         ok = nid >= 0
         own, nid, s = own[ok], nid[ok], s[ok]
-        o = np.lexsort((-s, nid, own))
-        own, nid, s = own[o], nid[o], s[o]
-        first = np.ones(len(own), bool)
-        first[1:] = (own[1:] != own[:-1]) | (nid[1:] != nid[:-1])
-        own, nid, s = own[first], nid[first], s[first]
         o = np.lexsort((nid, -s, own))
         own, nid, s = own[o], nid[o], s[o]
         keep = np.arange(len(own)) - np.searchsorted(own, own) < k
         return pa.table({"id": own[keep], "neighbour": nid[keep], "similarity": s[keep]})
 
-    buckets = max(12, math.ceil(n * spill / 60000))
+    buckets = max(12, math.ceil(n * probes / 60000))
     found = (parts.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
              .groupBy("bucket").applyInArrow(lambda t: merge(t), empty))
     if not copies:
         return found
-    # copies: a representative stands for its k + 1 smallest ids; every member gets the list of its group
+    # copies: a representative stands for its k + 1 smallest ids; every member gets the list of its group without itself
     group = firsts.withColumn("size", F.count("*").over(Window.partitionBy("rep"))).where("size > 1")
     few = group.select("rep", F.col("id").alias("nid"))
     wide = (found.select(F.col("id").alias("own"), F.col("neighbour").alias("rep"), "similarity").join(few, "rep", "left")
             .select("own", F.coalesce("nid", "rep").alias("nid"), "similarity")
             .unionByName(few.select(F.col("rep").alias("own"), "nid", F.lit(1.0).alias("similarity"))))
     top = Window.partitionBy("own").orderBy(F.desc("similarity"), "nid")
-    wide = wide.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r")
+    lists = (wide.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
+             .groupBy("own").agg(F.array_sort(F.collect_list(F.struct("r", "nid", "similarity"))).alias("best")))  # at most k + 1 each
     members = sound.join(group.where("rn = 1").select("vec", "rep"), "vec").select(F.col("rep").alias("own"), "id")
-    full = wide.join(members, "own", "left").select(F.coalesce("id", "own").alias("id"), F.col("nid").alias("neighbour"), "similarity").where("id <> neighbour")
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    return full.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    full = lists.join(members, "own", "left").withColumn("id", F.coalesce("id", "own"))
+    rest = F.slice(F.filter("best", lambda b: b["nid"] != F.col("id")), 1, k)
+    return full.select("id", F.explode(rest).alias("b")).select("id", F.col("b.nid").alias("neighbour"), F.col("b.similarity").alias("similarity"))
+
+
+def _count(reps: DataFrame, model: Model, probes: int = 1) -> np.ndarray:
+    """Rows of every cell, or queries that probe it: one number per cell, added up per partition first."""
+    shared = reps.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value.leaves), np.int64)
+        for b in batches:
+            if b.num_rows:
+                c = shared.value.cells(unit(matrix(b.column(1)), np.float32), probes).ravel()
+                total += np.bincount(c[c >= 0], minlength=len(total))
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+    got = reps.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(model.leaves), np.int64)
+    out[got.cell.to_numpy()] = got.n.to_numpy()
+    return out
+
+
+def _divide(reps: DataFrame, model: Model, counted: np.ndarray, cell_rows: int) -> Model:
+    """The model with leaves in place of every cell of over twice ``cell_rows``, fitted per cell on at most about ``LEAF_ROWS`` of its rows."""
+    want = np.where(counted > 2 * cell_rows, np.ceil(counted / cell_rows), 1).astype(np.int64)
+    shared = reps.sparkSession.sparkContext.broadcast(model)
+    share = np.minimum(1.0, LEAF_ROWS / np.maximum(counted, 1))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids, x = b.column(0).to_numpy(), matrix(b.column(1))
+                c = shared.value.cells(unit(x, np.float32), 1)[:, 0]
+                mix = ((ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.float64) / (1 << 31)
+                use = (want[c] > 1) & (mix <= share[c])
+                yield pa.RecordBatch.from_arrays([pa.array(c[use]), binary(x[use])], ["cell", "vec"])
+
+    def leaves(t: pa.Table) -> pa.Table:
+        c, x = t.column("cell")[0].as_py(), unit(matrix(t.column("vec")), np.float32)
+        got = kmeans(x, min(int(want[c]), max(1, len(x) // 8)), 8, np.random.default_rng(c), True)
+        return pa.table({"cell": pa.array([c] * len(got), pa.int32()), "vec": binary(got.astype(np.float32))})
+
+    got = reps.mapInArrow(draw, "cell int, vec binary").groupBy("cell").applyInArrow(leaves, "cell int, vec binary").toArrow()
+    by, cells = matrix(got.column("vec")), got.column("cell").to_numpy()
+    parts = [by[cells == c] if (cells == c).any() else model.coarse[c: c + 1] for c in range(len(model.coarse))]
+    return new_model(model.coarse, np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts]))
 
 
 def pairs(neighbours: DataFrame) -> DataFrame:
     return neighbours.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def recall_of(neighbours: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, block: int = 4096) -> DataFrame:
+    """(queries, neighbours, found, recall): the share of the exact neighbours of every row whose id is divisible by 100 that ``neighbours`` has.
+
+    The queries are taken against all rows, ``block`` at a time.
+    """
+    spark = vectors.sparkSession
+    sound = Stage(spark, "ann").cut(packed(vectors, id_col, vec_col, dim))
+    asked = sound.where("id % 100 = 0")
+    blocks = max(1, math.ceil(asked.count() / block))
+    true = None
+    for i in range(blocks):
+        part = exact_nearest(sound, asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow(), k).select("id", "neighbour")
+        true = part if true is None else true.unionByName(part)
+    both = true.join(neighbours.select("id", "neighbour", F.lit(1).alias("hit")), ["id", "neighbour"], "left")
+    got = both.agg(F.count_distinct("id").alias("queries"), F.count("*").alias("neighbours"), F.count("hit").alias("found"))
+    return got.withColumn("recall", F.col("found") / F.col("neighbours"))

@@ -13,8 +13,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.pairs(ann.nearest(table(spark, sf_dir, "chunks"), "id", "embedding"))
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against the exact neighbours of every chunk whose id is divisible by 100."""
+    c = table(spark, sf_dir, "chunks")
+    return ann.recall_of(ann.nearest(c, "id", "embedding"), c, "id", "embedding")
+
+
+QUERIES = {"p1_found": p1_found, "p1_recall": p1_recall}
+#: Exact, over all pairs: for small scales only.
+SQL: dict[str, str] = {"p1_found": """
+WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM chunks WHERE id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS r FROM v a JOIN v b ON a.id <> b.id)
+SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM s WHERE r <= 10"""}
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

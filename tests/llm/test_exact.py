@@ -32,10 +32,36 @@ def test_neighbours_recall(spark):
     x = (c[rng.integers(0, 12, 1500)] + 0.5 * rng.normal(size=(1500, 8))).astype(np.float32)
     rows = [(i, v.tolist(), "a", 1) for i, v in enumerate(x)]
     want = truth(np.arange(1500), x.astype(np.float64), 10)
-    got = near(spark, rows, cell_rows=150)
-    assert len(got & want) / len(want) > 0.95
-    hot = near(spark, rows, cell_rows=150, max_cell=60)  # every cell is cut into blocks
-    assert len(hot & want) / len(want) > 0.95
+    assert len(near(spark, rows, cell_rows=150) & want) / len(want) > 0.97
+    assert len(near(spark, rows, cell_rows=150, max_cell=60) & want) / len(want) > 0.97  # every cell is cut into blocks
+    assert near(spark, rows, cell_rows=150, exact=True) == want
+
+
+@pytest.mark.parametrize("sample", [8000, 600])
+def test_recall_holds_over_many_cells(spark, sample):
+    """300 cells and more, fitted from the sample, or divided from a few coarse ones; a third of the rows is one dense spot."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 8)).astype(np.float32)
+    x[::3] = x[0] + 0.02 * x[::3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    seen = []
+    was = ann.calibrate
+
+    def spy(model, *a):
+        seen.append((len(model.leaves), was(model, *a)))
+        return seen[-1][1]
+    ann.calibrate = spy
+    try:
+        found = ann.nearest(df, "id", "v", dim=8, cell_rows=18, sample_rows=sample).cache()
+        found.count()
+    finally:
+        ann.calibrate = was
+    assert seen[0][0] >= 300 and seen[0][1] < 150
+    want = truth(np.arange(6000), x.astype(np.float64), 10)
+    assert len({(r.id, r.neighbour) for r in found.collect()} & want) / len(want) > 0.95
+    r = ann.recall_of(found, df, "id", "v", dim=8, block=16).first()
+    assert r.queries == 60 and r.neighbours == 600 and r.recall > 0.95
+    found.unpersist()
 
 
 def test_neighbours_of_copies_and_unsound_vectors(spark):
@@ -53,14 +79,13 @@ def test_neighbours_of_copies_and_unsound_vectors(spark):
 def test_codes_weigh_the_parallel_error():
     rng = np.random.default_rng(2)
     x = ann.unit(rng.normal(size=(2000, 32)), np.float32)
-    m = ann.fit(x, 2000, 500)
+    m = ann.new_model(ann.fit_cells(x, 2000, 500))
+    ann.fit_books(x, m)
     leaf = m.cells(x, 1)[:, 0]
     plain = ann.Model(m.coarse, m.leaves, m.starts, m.books, 1.0)
 
     def parallel(model):
-        codes = model.encode(x, leaf)
-        e = ann._halves(x - m.leaves[leaf], 16) - np.stack([m.books[j][codes[:, j]] for j in range(16)], 1)
-        return ((e * ann._halves(x, 16)).sum((1, 2)) ** 2).mean()
+        return (((x - model.decode(model.encode(x, leaf), leaf)) * x).sum(1) ** 2).mean()
     assert m.eta > 1 and parallel(m) < parallel(plain)
 
 
