@@ -38,7 +38,7 @@ LEAF_ROWS = 65536
 #: Vectors compared with all others to set the probes and the slack.
 CALIBRATION = 512
 #: Share of true neighbours whose table score may fall below the slack.
-SLACK_MISS = 0.001
+SLACK_MISS = 0.005
 STEPS = 4000  # levels of one table's scores; 16 of them fit 16 bits
 
 
@@ -241,11 +241,13 @@ def scan(model: Model, leaf: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarra
         acc = np.ascontiguousarray(acc.T)
         zero = zero + qq.astype(np.float32) @ model.leaves[leaf]
 
-        def exact(mask: np.ndarray, qq=qq, own=own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def exact(mask: np.ndarray, least: np.ndarray, qq=qq, own=own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             r, c = np.nonzero(mask)
             other = own[r] != ids[c]
             r, c = r[other], c[other]
             s = np.concatenate([np.einsum("pd,pd->p", qq[r[a: a + 65536]], x[c[a: a + 65536]]) for a in range(0, len(r), 65536)]) if len(r) else np.zeros(0)
+            high = s >= least[r]
+            r, c, s = r[high], c[high], s[high]
             o = np.lexsort((ids[c], -s, r))
             r, c, s = r[o], c[o], s[o]
             rank = np.arange(len(r)) - np.searchsorted(r, r)
@@ -253,11 +255,11 @@ def scan(model: Model, leaf: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarra
             return r[keep] * k + rank[keep], c[keep], s[keep]
 
         # the best candidates' exact scores bound the k-th best from below
-        at, _, s = exact(acc >= np.partition(acc, n - first, axis=1)[:, n - first, None])
+        at, _, s = exact(acc >= np.partition(acc, n - first, axis=1)[:, n - first, None], np.full(w, -2.0))
         bound = np.full((w, k), -2.0)
         bound.ravel()[at] = s
         level = np.floor((bound[:, -1] - model.slack - zero) / step) - len(pair) / 2  # table levels are rounded
-        at, c, s = exact(acc >= np.clip(level, 0, 65535).astype(np.uint16)[:, None])
+        at, c, s = exact(acc >= np.clip(level, 0, 65535).astype(np.uint16)[:, None], bound[:, -1])
         out_id[lo: lo + w].ravel()[at], out_s[lo: lo + w].ravel()[at] = ids[c], s
     return out_id, out_s
 
@@ -315,7 +317,7 @@ def calibrate(model: Model, reps: DataFrame, queries: pa.Table, k: int, recall:
     x = unit(matrix(true.column("vec")), np.float32)
     home = model.cells(x, 1)[:, 0]
     miss = true.column("similarity").to_numpy() - (q * model.decode(model.encode(x, home), home)).sum(1)
-    model.slack = float(np.quantile(miss, 1 - SLACK_MISS)) + 0.005
+    model.slack = float(np.quantile(miss, 1 - SLACK_MISS))
     probes = 1
     while probes < len(model.leaves):
         if (model.cells(q, probes) == home[:, None]).any(1).mean() >= recall:
