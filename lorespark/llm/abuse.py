@@ -7,14 +7,17 @@ letter n-grams.  Three linear models are chained: the one for ``hateful`` also s
 later models learn from probabilities as unsure as they will meet.  A document's score in a category is
 that of its worst window.
 
-The models are fitted here, on the seed sentences below and on a sample of labelled documents of at most
-``LABELLED`` documents.  Raters are weighed by how often they agree with the others; a document's label
-says that some window has it, so its windows that the seed model finds likely are taken as examples.
+The models are fitted here, on seed sentences and on a sample of at most ``LABELLED`` labelled documents.
+Raters are weighed by how often they agree with the others.  A label says that some window of a document
+has it; which, is chosen first by the seed model and by words that tell a category's documents from clean
+ones, then by models of the other folds: a window that those do not confirm is no example.  The threshold
+of each category is the one with the best F1 over out-of-fold scores of labelled documents and seeds.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,47 +30,51 @@ from lorespark.session import Stage
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Labelled documents and windows that the models are fitted on, at most.
-LABELLED = 3000
-WINDOWS = 30000
+LABELLED = 2000
+WINDOWS = 15000
 FOLDS = 3
+SELECTIONS = 2  # rounds in which the examples are chosen anew by models that did not see them
 BITS = 18
 WIDTH = 12  # words of a window
 THRESHOLD = 0.5
 
-# Seed sentences.
-SEEDS = {
-    "abusive": [
-        "ты идиот закрой рот", "какой же ты урод тошно смотреть", "заткнись дебил тебя никто не спрашивал", "да пошёл ты скотина", "чтоб ты сдох тварь", "тебе лечиться пора придурок", "сволочь ты и больше никто",
-        "вали отсюда дрянь", "я тебя найду мразь и ты пожалеешь", "ещё раз напишешь гнида я тебе руки переломаю", "таких как ты душить надо ублюдок", "лучше бы тебя вообще не рожали", "сдохни уже наконец",
-        "я тебя закопаю понял", "ты ничтожество и тупица", "козёл ты и больше никто", "подонок закрой рот", "какая же ты мерзкая сука", "убью тебя падла", "ты кретин и дура", "я тебе голову оторву", "сиди и молчи быдло",
-        "shut up you worthless idiot", "you are a pathetic moron and everyone knows it", "nobody asked you scumbag", "i will find you and break your legs bastard", "drop dead you piece of trash", "you stupid loser go kill yourself",
-    ],
-    "hateful": [
-        "все приезжие не люди а паразиты", "они по природе воры и тупицы", "всех их надо выселить чистый город будет", "не нанимайте чужаков это низшая порода", "нормальные люди с ними не живут они хуже скота",
-        "ненавижу этот народ давить их как тараканов", "от них одна грязь детей к ним не подпускайте", "пора очистить двор этих вон бить без разговоров", "эта нация отбросы и вырожденцы", "гнать их всех из страны нелюди",
-        "таким не место среди людей грязный народ", "их вера зараза всех вырезать", "they are vermin throw them all out", "these people are animals and should be wiped out", "that race is filth do not let them near children", "i hate them all they are subhuman",
-        "нормальные люди с такими не живут эти хуже скота", "никогда не доверяй им это порода предателей",
-    ],
-    "sexual": [
-        "хочу твой член у себя во рту", "сделала ему минет в машине на стоянке", "мы трахались до утра она стонала на весь дом", "кончил тебе на живот и хочу ещё", "пришли фото без белья хочу видеть твою грудь", "встал от одного твоего фото приезжай голая",
-        "облизать бы тебя всю медленно снизу вверх", "сними трусы и сядь на меня сверху", "она раздвинула ноги и попросила глубже", "дрочу и думаю о тебе каждую ночь", "хочу тебя прямо сейчас раздевайся догола", "она сосала ему всю ночь",
-        "we fucked until morning and she screamed my name", "send nudes i want to lick your breasts", "i want you naked on the kitchen table right now", "he came on her chest and wanted more",
-    ],
-    "none": [
-        "в старом словаре слово идиот значило просто частное лицо", "козёл у тёти на даче опять съел укроп", "придурков в фильме играли братья очень смешно вышло", "морская тварь в аквариуме светилась зелёным дети визжали от восторга",
-        "член комиссии не явился защиту перенесли", "убить бы вечер а сил нет никаких", "голая сцена без декораций смотрелась сильно", "секс символ немого кино умерла в нищете писали в журнале", "застрахуйте лодку и не употребляйте скипидар внутрь",
-        "врач рассказывала про грудное вскармливание и режим", "празднуют день урожая и зовут всех в гости", "он сказал ты идиот и ушёл потом извинялся", "в книге герой кричит чтоб ты сдох и падает занавес", "слово сволочь раньше означало сброд читали на уроке",
-        "на лекции разбирали как травят людей за веру", "в учебнике написано что член предложения бывает второстепенный", "половой член и яичники в атласе анатомии показаны на странице", "рак груди лечат рано проверяйтесь у маммолога", "кончил школу и поехал к морю",
-        "скотина у соседа опять вышла на дорогу", "паразиты у кошки вывели за неделю таблетками", "тараканов травили на кухне", "в статье писали что такие лозунги разжигают ненависть", "дурак в картах это тот кто остался последним", "гнида это яйцо вши объяснила врач",
-        "порода собак низкая и лохматая", "вывезли грязь со двора чистый город будет к празднику", "сука ощенилась щенков раздаём", "она написала мне гадость и я её заблокировала", "убили весь день на очередь", "the idiot is a novel by dostoevsky", "the doctor examined her breast and found nothing",
-        "в следующий раз мастер обещает всё исправить", "пора очистить двор от снега", "ну ты понимаешь", "я понял что надо ждать", "никто тебя не спрашивал про обед сам расскажи", "nobody asked but we brought soup anyway", "tomorrow morning i wanted to sell the old table", "the kids are asleep in the kitchen right now", "we have to return the keys in the morning", "всех зовут на собрание жильцов", "снял трусы и полотенца с верёвки", "сядь на стул и расскажи", "тебе лечиться пора простуда не проходит", "закрой окно дует", "лучше бы тебя вообще не ждали поехали раньше",
-    ],
-}
+# Words and phrases that the seed sentences are made of, general knowledge of the two languages.
+INSULTS = """идиот дебил кретин придурок тупица урод уродина тварь мразь скотина сволочь гнида ублюдок подонок козёл сука падла мудак дрянь ничтожество паскуда дегенерат недоумок чмо шавка гадина
+подлец мерзавец тупорылый безмозглый мразота имбецил дура дурак быдло""".split()
+INSULTS_EN = "idiot moron loser scumbag bastard bitch asshole jerk imbecile dumbass retard cunt prick pig".split()
+TO_A_PERSON = ["ну ты и {}", "слышь ты {}", "{} ты конченый", "заткни пасть {}", "пошёл вон {}", "ненавижу тебя {}", "сдохни {}", "молчи {} пока цел"]
+TO_A_PERSON_EN = ["you are such a {}", "you {} get lost", "shut your mouth {}", "i hate you {}"]
+THREATS = ["убью тебя", "я тебя прибью", "я тебя зарежу", "я тебя найду и прикончу", "задушу тебя своими руками", "придушил бы тебя", "сломаю тебе челюсть", "переломаю тебе ноги", "голову тебе оторву", "закопаю тебя в лесу", "тебе не жить", "ты труп", "ты пожалеешь что родился",
+           "иди повесься", "закрой свой рот", "тошнит от тебя", "лечи голову", "зря тебя родили",
+           "i will kill you", "i will hurt you and your family", "i know where you live you are dead", "i will break your neck", "go die", "kill yourself", "drop dead", "you are worthless and pathetic", "nobody wants you here"]
+GROUPS = "приезжих чужаков иноверцев иностранцев беженцев кочевников горцев южан северян".split()
+OF_A_GROUP = ["гнать {} вон из города", "ненавижу {} всех до одного", "выселить бы {} отсюда", "{} надо давить как клопов", "перебить {} и дело с концом", "не берите {} на работу это недочеловеки", "от {} только грязь и зараза", "не пускайте {} к детям", "зачистить район от {} бить их"]
+HATE = ["приезжие хуже скотов", "иноверцы не люди", "они нелюди и паразиты", "они все воры от рождения", "это низшая раса", "это порода воров и предателей", "грязный народ", "тупой народ от природы", "весь этот народ отбросы", "нелюди", "вырезать их веру под корень", "с такими рядом жить нельзя они как скот", "вырожденцы",
+        "foreigners are vermin", "throw those people out of our country", "that race is filth", "those people are animals not humans", "keep those filthy people away from our children", "they are subhuman and should be exterminated", "never hire these people they are inferior"]
+SEX = ["хочу тебя трахнуть", "трахались всю ночь", "потрахаемся", "отсоси мне", "она сосала и глотала", "сделай мне минет", "сделала минет", "возьми мой член в рот", "твой член внутри меня", "кончи мне на грудь", "он кончил ей на лицо", "я кончаю", "дрочу на твои фото", "подрочи мне", "раздвинь ноги", "раздвинула ножки и стонала",
+       "вылизать тебя между ног", "облизать тебе соски", "сиськи наружу", "покажи сиськи", "скинь голое фото", "пришли интимное фото", "сними трусики", "сядь сверху и скачи", "войди в меня глубже", "у меня на тебя встал", "приезжай без белья", "раздену тебя и возьму сзади", "оргазм", "мокрая киска", "порно",
+       "fuck me all night", "we fucked on the floor", "suck my cock", "she gave me a blowjob", "lick my pussy", "show me your tits", "send me naked pictures", "i want to lick you naked", "sit on my dick", "cum on my face", "he came inside me", "i am so horny i masturbate", "moaning and screaming in bed"]
+PLAIN = ["корова отелилась и вся скотина сыта", "коза и козёл пасутся за оврагом", "сука принесла пятерых щенков", "гнида под микроскопом выглядит как капля", "дурак в колоде остаётся последним", "слово кретин пришло из медицины", "в романе достоевского идиот это князь", "лектор объяснил откуда взялось слово сволочь",
+         "тварь из глубин моря светится", "убить время в очереди", "убил весь вечер на уборку", "мороз меня убивает", "чуть не умер со смеху", "повесился компьютер", "душит кашель", "переломал все ветки в саду", "член совета выступил с докладом", "главный член предложения", "член экипажа", "рот полоскать ромашкой",
+         "грудь болит надо к врачу", "маммолог осмотрел грудь", "кормление грудью", "голые стены после ремонта", "голая правда", "кончил институт", "кончилась мука", "секс как раздел учебника биологии", "трусы и носки сохнут", "сел сверху на чемодан", "лизать мороженое", "стонала дверь на ветру",
+         "паразиты у кота вывели таблетками", "тараканов травим на кухне", "клопов давить бесполезно", "порода собак редкая", "народ собрался на площади", "беженцев разместили в школе", "приезжих встретили хлебом", "грязь на дорогах", "зараза ходит по школе грипп", "выселить из общежития за долги", "вырезать фигурки из бумаги",
+         "он обозвал меня идиотом и потом извинился", "в кино герой кричит сдохни", "в старой книге написано что их гнали", "учитель разобрал почему такие слова унижают людей", "статья о том как травят беженцев", "модератор удалил оскорбления",
+         "the word idiot comes from greek", "a pig and a goat on the farm", "the doctor examined her breast", "the cat brought a dead mouse", "this heat is killing me", "you are dead right", "the villain shouts i will kill you in the film", "members of the committee", "nobody wants to wash the dishes", "we were screaming at the concert", "take off your shoes"]
+
+
+def seed_sentences() -> list[tuple[str, str]]:
+    """(sentence, category or none)."""
+    out = [(x.format(w), "abusive") for k, w in enumerate(INSULTS) for x in TO_A_PERSON[k % 2:: 2]]
+    out += [(x.format(w), "abusive") for k, w in enumerate(INSULTS_EN) for x in TO_A_PERSON_EN[k % 2:: 2]]
+    out += [(x.format(w), "hateful") for k, w in enumerate(GROUPS) for x in OF_A_GROUP[k % 3:: 3]]
+    return out + [(x, "abusive") for x in THREATS] + [(x, "hateful") for x in HATE] + [(x, "sexual") for x in SEX] + [(x, "none") for x in PLAIN]
+
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿̶̀́]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_]([.\-_* ])[^\W_](?:\1[^\W_])+(?![^\W_])")  # one kind of sign all through
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _ODD = re.compile(r"[^\W_]*[^\W\d_][@$0-9*][\w@$*]*|[@$*0-9]+[^\W\d_][\w@$*]*|[a-z]+[а-я]\w*|[а-я]+[a-z]\w*")
+_TRIGGER = re.compile(r"[a-zа-я][@$*0-9]|[@$*0-9][a-zа-я]|[a-z][а-я]|[а-я][a-z]")  # no odd word is without one
 # Signs that stand for a letter in a disguised word.
 _TO_CYR = str.maketrans("aceopxykmtnubh@03461", "асеорхукмтпивнаозчбл")
 _TO_LAT = str.maketrans("@$01345", "asoieas")
@@ -89,10 +96,12 @@ def _unmask(m: re.Match) -> str:
 def fold(text: str) -> str:
     t = text.lower().replace("ё", "е")
     if not t.isascii():
+        if max(t) > "\u20ff":  # full-width and mathematical letters
+            t = unicodedata.normalize("NFKC", t).lower().replace("ё", "е")
         t = _INVISIBLE.sub("", t)
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()) if not m.group().replace(" ", "").isdigit() else m.group(), t)
     t = _STRETCHED.sub(r"\1", t)
-    return _ODD.sub(_unmask, t)
+    return _ODD.sub(_unmask, t) if _TRIGGER.search(t) else t
 
 
 class Lexicon:
@@ -194,7 +203,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(row: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.3, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def train(row: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 2.0, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression on the features that occur, by momentum steps scaled per feature.  Returns (hashed weights, weights of extra + bias)."""
     used, col = np.unique(feature, return_inverse=True)
     n = len(y)
@@ -220,6 +229,7 @@ class Chain:
     weights: np.ndarray  # [3, 2**BITS]
     extra: list[np.ndarray]
     lexicon: Lexicon
+    shift: np.ndarray  # [3], log odds of each category's threshold
 
     def windows(self, b: Bags, k: int) -> np.ndarray:
         """Probabilities [3, windows] of one set of windows."""
@@ -233,34 +243,64 @@ class Chain:
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """[3, texts]: the highest probability of any window."""
+        """[3, texts]: the highest probability of any window, odds taken relative to the threshold's, so 0.5 is the threshold."""
         b = bags(prepare(texts, self.lexicon))
         best = np.zeros((3, len(texts)))
         for k in range(2):
             p = self.windows(b, k)
             for i in range(3):
                 np.maximum.at(best[i], b.text_of[k], p[i])
-        return best
+        return np.where(best > 0, sigmoid(np.log(np.maximum(best, 1e-12) / np.maximum(1 - best, 1e-12)) - self.shift[:, None]), 0.0)
 
 
-def chain(row: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, lexicon: Lexicon, folds: int = FOLDS) -> Chain:
-    """Fit the three models in turn; the earlier ones' probabilities are out of fold in training."""
-    n = y.shape[1]
-    fold_of = np.random.default_rng(3).permutation(n) % folds
-    extra, weights, extras = np.zeros((n, 0)), [], []
+@dataclass
+class Rows:
+    """Windows of seeds and documents, both sets of windows: (window, feature) pairs, and the unit (seed or document) and fold of each window."""
+    row: np.ndarray
+    feature: np.ndarray
+    unit: np.ndarray
+    fold: np.ndarray
+
+    def only(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of the windows kept, numbered anew."""
+        use = keep[self.row]
+        return (np.cumsum(keep) - 1)[self.row[use]], self.feature[use]
+
+    def out_of_fold(self, keep: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
+        """Each window's probability by a model that did not see its fold, fitted on the windows kept."""
+        n = len(self.unit)
+        p, ex = np.zeros(n), np.column_stack([extra, np.ones(n)])
+        for f in range(FOLDS):
+            mine, seen = self.fold == f, keep & (self.fold != f)
+            w, v = train(*self.only(seen), extra[seen], y[seen], weight[seen], rounds=rounds)
+            row, feature = self.only(mine)
+            p[mine] = sigmoid(np.bincount(row, w[feature], mine.sum()) + ex[mine] @ v)
+        return p
+
+
+def chain(rows: Rows, keep: np.ndarray, y: np.ndarray, weight: np.ndarray, lexicon: Lexicon) -> tuple[Chain, np.ndarray]:
+    """Fit the three models in turn; the earlier ones' probabilities are out of fold in training.  Also returns all out-of-fold probabilities."""
+    extra, weights, extras = np.zeros((len(rows.unit), 0)), [], []
     for i in range(3):
-        w, v = train(row, feature, extra, y[i], weight)
+        w, v = train(*rows.only(keep), extra[keep], y[i, keep], weight[keep])
         weights.append(w)
         extras.append(v)
-        if i < 2:
-            p = np.zeros(n)
-            for f in range(folds):
-                inside = fold_of[row] != f
-                wf, vf = train(row[inside], feature[inside], extra, y[i], weight * (fold_of != f))
-                z = np.bincount(row, wf[feature], n) + np.column_stack([extra, np.ones(n)]) @ vf
-                p[fold_of == f] = sigmoid(z)[fold_of == f]
-            extra = np.column_stack([extra, p])
-    return Chain(np.array(weights, np.float32), extras, lexicon)
+        extra = np.column_stack([extra, rows.out_of_fold(keep, extra, y[i], weight, 120)])
+    return Chain(np.array(weights, np.float32), extras, lexicon, np.zeros(3)), extra.T
+
+
+def best_threshold(score: np.ndarray, true: np.ndarray, weight: np.ndarray, near: float = 0.985) -> float:
+    """Log odds of a threshold: the middle of those whose F1 is within ``near`` of the best, as erring raters blur which is best."""
+    o = np.argsort(-score)
+    s, tp, fp = score[o], np.cumsum((weight * true)[o]), np.cumsum((weight * ~true)[o])
+    if not tp[-1]:
+        return 0.0
+    f1 = 2 * tp / (tp + fp + tp[-1])
+    f1[:-1][s[1:] == s[:-1]] = 0  # equal scores stay together
+    good = np.nonzero(f1 >= near * f1.max())[0]
+    z = np.log(np.clip(s, 1e-4, 1 - 1e-4) / (1 - np.clip(s, 1e-4, 1 - 1e-4)))
+    low = z[good[-1] + 1] if good[-1] + 1 < len(z) else z[good[-1]]
+    return float(np.clip((z[good[0]] + max(low, -3.0)) / 2, -2.0, 3.0))
 
 
 def rater_votes(labels: list[tuple[int, str, str]]) -> dict[int, tuple[str, float]]:
@@ -287,12 +327,12 @@ def rater_votes(labels: list[tuple[int, str, str]]) -> dict[int, tuple[str, floa
     return out
 
 
-def telling(b: Bags, inside: np.ndarray, clean: np.ndarray, served: np.ndarray, share: float = 0.15, least: int = 5, odds: float = 2.5, total: float = 5.0) -> np.ndarray:
+def telling(b: Bags, inside: np.ndarray, others: np.ndarray, served: np.ndarray, share: float = 0.03, least: int = 4, odds: float = 2.5, total: float = 5.0) -> np.ndarray:
     """For documents of a category without an example so far: the window whose features tell the category's
-    documents from clean ones most, if they do so clearly.  inside and clean are per window."""
+    documents from all others most, if they do so clearly.  inside and others are per window."""
     out = np.zeros(len(inside), bool)
-    n_in, n_clean = len(np.unique(b.text_of[0][inside])), len(np.unique(b.text_of[0][clean]))
-    if n_in < 2 * least or n_clean < 2 * least:
+    n_in, n_others = len(np.unique(b.text_of[0][inside])), len(np.unique(b.text_of[0][others]))
+    if n_in < 2 * least or n_others < 2 * least:
         return out
     win, feat = b.windows[0][: b.n_word], b.feature[: b.n_word]
 
@@ -301,8 +341,8 @@ def telling(b: Bags, inside: np.ndarray, clean: np.ndarray, served: np.ndarray,
         pairs = np.unique(b.text_of[0][win[use]] * (1 << BITS) + feat[use])
         return np.bincount(pairs % (1 << BITS), minlength=1 << BITS)
 
-    a, c = documents(inside), documents(clean)
-    lo = np.log((a + 0.5) / (n_in + 1)) - np.log((c + 0.5) / (n_clean + 1))
+    a, c = documents(inside), documents(others)
+    lo = np.log((a + 0.5) / (n_in + 1)) - np.log((c + 0.5) / (n_others + 1))
     lo[(a < max(least, share * n_in)) | (lo < odds)] = 0
     score = np.bincount(win, lo[feat], len(inside))
     best = np.zeros(b.n_texts)
@@ -310,48 +350,55 @@ def telling(b: Bags, inside: np.ndarray, clean: np.ndarray, served: np.ndarray,
     return inside & ~served[b.text_of[0]] & (score >= total) & (score == best[b.text_of[0]])
 
 
-def fit(labelled: list[tuple[str, str, float]]) -> Chain:
-    """labelled: (text, label, certainty) of documents.  No labelled document: the seeds alone."""
-    seeds = [(t, k) for k, xs in SEEDS.items() for t in xs]
-    lexicon = Lexicon(sorted({w for t, k in seeds if k != "none" for w in fold(t).split() if len(w) >= 3}))
+def examples(p: np.ndarray, label: np.ndarray, unit: np.ndarray, least: float) -> np.ndarray:
+    """[3, windows]: in documents of a category, the windows that are likely, or the likeliest one if it is not unlikely."""
+    y = np.zeros(p.shape, bool)
+    for i in range(3):
+        best = np.full(unit.max() + 1, -1.0)
+        np.maximum.at(best, unit, p[i])
+        y[i] = (label == i) & ((p[i] >= 0.5) | ((p[i] == best[unit]) & (p[i] >= least)))
+    return y
 
-    def rows_of(texts: list[str]):
-        b = bags(prepare(texts, lexicon))
-        return b.windows[0], b.feature, b.text_of[0]
 
-    sw, sf, st = rows_of([t for t, _ in seeds])
-    sy = np.array([[seeds[t][1] == c for t in st] for c in CATEGORIES], float)
-    start = chain(sw, sf, sy, np.ones(len(st)) * 2, lexicon, 2)
+def fit(labelled: list[tuple[str, str, float]]) -> Chain:
+    """labelled: (text, label, certainty) of documents.  No labelled document: the seeds alone."""
+    seeds = seed_sentences()
+    lexicon = Lexicon(sorted({w for t, k in seeds if k != "none" for w in fold(t).split() if len(w) >= 4}))
+    rng = np.random.default_rng(5)
+    b = bags(prepare([t for t, _ in seeds] + [x[0] for x in labelled], lexicon))
+    n_seeds, n0, n = len(seeds), len(b.text_of[0]), len(b.text_of[0]) + len(b.text_of[1])
+    unit = np.concatenate(b.text_of)
+    rows = Rows(np.concatenate([b.windows[0], b.windows[1] + n0]), np.tile(b.feature, 2), unit, (rng.permutation(b.n_texts) % FOLDS)[unit])
+    truth = np.array([CATEGORIES.index(k) if k in CATEGORIES else -1 for k in [k for _, k in seeds] + [x[1] for x in labelled]])
+    certain = np.concatenate([np.ones(n_seeds), [x[2] for x in labelled]])
+    label, sure, is_seed = truth[unit], certain[unit], unit < n_seeds
+    y = np.array([is_seed & (label == i) for i in range(3)])
+    start, p = chain(rows, is_seed, y.astype(float), sure, lexicon)
     if not labelled:
         return start
-    docs = [x[0] for x in labelled]
-    b = bags(prepare(docs, lexicon))
-    p = start.windows(b, 0)
-    label = np.array([CATEGORIES.index(x[1]) if x[1] in CATEGORIES else -1 for x in labelled])[b.text_of[0]]
-    sure = np.array([x[2] for x in labelled])[b.text_of[0]]
-    n = len(label)
-    y, weight = np.zeros((3, n)), sure.copy()
-    top = p.max(0)
+    p = np.concatenate([start.windows(b, 0), start.windows(b, 1)], 1)
+    y |= examples(p, label, unit, 0.35) & ~is_seed
+    served = [np.bincount(unit, y[i], b.n_texts) > 0 for i in range(3)]
     for i in range(3):
-        best = np.full(len(docs), -1.0)
-        np.maximum.at(best, b.text_of[0], p[i])
-        mine = (label == i) & ((p[i] >= 0.5) | ((p[i] == best[b.text_of[0]]) & (p[i] >= 0.35)))
-        y[i, mine] = 1
-        mine = telling(b, label == i, label == -1, np.bincount(b.text_of[0], y[i], len(docs)) > 0) & (top < 0.35)  # not another category's
-        y[i, mine] = 1
-    positive = y.any(0)
-    weight[(label >= 0) & ~positive & (top > 0.3)] = 0  # unclear windows of a labelled document
-    weight[(label < 0) & (top > 0.8)] *= 0.5  # a rater may have erred
-    rng = np.random.default_rng(5)
-    keep = positive | (rng.random(n) < min(1.0, WINDOWS / max(1, n))) | (top > 0.15)
-    keep &= weight > 0
-    if keep.sum() > WINDOWS:
-        keep &= rng.random(n) < WINDOWS / keep.sum()
-    number = np.cumsum(keep) - 1
-    use = keep[b.windows[0]]
-    row = np.concatenate([sw, number[b.windows[0][use]] + len(st)])
-    feature = np.concatenate([sf, b.feature[use]])
-    return chain(row, feature, np.concatenate([sy, y[:, keep]], 1), np.concatenate([np.ones(len(st)) * 2, weight[keep]]), lexicon)
+        first = slice(0, n0)
+        mine = label[first] == i
+        y[i, first] |= telling(b, mine & ~is_seed[first], ~mine & ~is_seed[first], served[i])
+    for turn in range(SELECTIONS + 1):
+        top, positive = p.max(0), y.any(0)
+        weight = sure.copy()
+        weight[~is_seed & (label >= 0) & ~positive & (top > 0.2)] = 0  # unclear windows of a labelled document
+        weight[~is_seed & (label < 0) & (top > 0.8)] *= 0.5  # a rater may have erred
+        # every example and every window that looks like one; of the others at most about WINDOWS
+        keep = (is_seed | positive | (top > 0.05) | (rng.random(n) < WINDOWS / max(1, n))) & (weight > 0)
+        if turn < SELECTIONS:
+            p = np.array([rows.out_of_fold(keep, np.zeros((n, 0)), y[i].astype(float), weight, 60) for i in range(3)])
+            y = np.where(is_seed, y, examples(p, label, unit, 0.3))
+    model, oof = chain(rows, keep, y.astype(float), weight, lexicon)
+    for i in range(3):
+        s = np.zeros(b.n_texts)
+        np.maximum.at(s, unit, oof[i])
+        model.shift[i] = best_threshold(s, truth == i, certain)
+    return model
 
 
 def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

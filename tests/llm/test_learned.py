@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from lorespark.llm import abuse, ocr, pii, residue
 
 EDGE = [None, "", "   ", "\n", "а", "😀" * 3, "слово " * 20000]
@@ -142,6 +144,16 @@ def test_fold():
     assert abuse.prepare(["ты к**ел, т**рь"], lex) == ["ты козел, тварь"]
 
 
+def test_wide_letters_are_folded():
+    assert abuse.fold("ｉｄｉｏｔ 𝐢𝐝𝐢𝐨𝐭") == "idiot idiot"
+
+
+def test_threshold_lies_between_clean_and_true():
+    score, true = np.array([0.99, 0.98, 0.97, 0.9, 0.3, 0.2, 0.1]), np.array([True, True, True, True, False, False, False])
+    z = abuse.best_threshold(score, true, np.ones(7))
+    assert np.log(0.3 / 0.7) < z < np.log(9)
+
+
 def test_votes_trust_raters_who_agree():
     labels = [(d, "none", r) for d in range(20) for r in "ab"] + [(d, "abusive", "c") for d in range(20)]
     assert all(v[0] == "none" for v in abuse.rater_votes(labels).values())
