@@ -10,6 +10,7 @@ sample of spans.  The spans it accepts are replaced with typed placeholders.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,8 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 #: Spans that the final classifier is fitted on, at most (about, by hash).
 TRAIN_SPANS = 6000
 BITS = 15
+#: Buckets in which words of surname form or in capitals are counted: every word counts, words of one bucket together.
+WORD_BUCKETS = 1 << 18
 
 # The gazetteer of given names.
 GIVEN = """александр алексей анатолий андрей антон аркадий арсений артём артур богдан борис вадим валентин валерий василий виктор виталий владимир владислав всеволод вячеслав геннадий георгий герман глеб
@@ -39,6 +42,7 @@ GIVEN = """александр алексей анатолий андрей ан
 _UNITS = {w: i for i, w in enumerate("ноль один два три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать".split())}
 _TENS = {w: 10 * i for i, w in enumerate("двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто".split(), 2)}
 _HUNDREDS = {w: 100 * i for i, w in enumerate("сто двести триста четыреста пятьсот шестьсот семьсот восемьсот девятьсот".split(), 1)}
+_SPOKEN_STEMS = ("ноль", "один", "дв", "три", "четыр", "пят", "шест", "сем", "восем", "девя", "сто", "сорок", "сот")
 _NUM = _UNITS | _TENS | _HUNDREDS | {"одна": 1, "две": 2, "нуль": 0}
 _N = "(?:" + "|".join(sorted(_NUM, key=len, reverse=True)) + ")"
 # Words that speak for or against a kind.
@@ -46,14 +50,14 @@ CUES = {
     "email": re.compile(r"почт|адрес|ящик|mail|имейл|логин|сюда|скинь|счет|пиши", re.I),
     "phone": re.compile(r"звон|набери|телефон|тел\b|тел\.|номер|мобил|дозвон|переведи|мастер|банк", re.I),
     "id_number": re.compile(r"паспорт|сери[яи]|выдан|снилс|страхов|\bинн\b|справк", re.I),
-    "address": re.compile(r"адрес|прописк|приезжай|доставк|посылк|живу|живет|такси|переехал|консьерж|этаж|подъезд|квартир|\bкв\b|индекс", re.I),
-    "name": re.compile(r"на имя|фамили|спроси|подпиши|представил|в списке|подъезд|передать|просил|сосед|тоже прид|документ|зовут|новый", re.I),
+    "address": re.compile(r"адрес|прописк|приезжай|доставк|посылк|живу|живет|такси|переехал|квартир|\bкв\b|индекс|прожива|регистрац|куда ехать|оставил", re.I),
+    "name": re.compile(r"на имя|фамили|отчеств|спроси|подпиши|представ|спис[ок]|переда[тйл]|просил|сосед|документ|зовут|инициал|получател|отправител|директор|мастер|врач|учител", re.I),
 }
 DECOYS = {
-    "email": re.compile(r"подпишись|собака лает|кличк", re.I),
-    "phone": re.compile(r"заказ|трек|артикул|сч[её]тчик|показани|сумма|верси|инн\b|снилс|паспорт|сери[яи]|рубл|страхов|автобус|код\b|isbn", re.I),
-    "id_number": re.compile(r"заказ|трек|артикул|сч[её]тчик|показани|сумма|верси|рубл|автобус|встреча|звони|набери|телефон|переведи|isbn|счёт\b", re.I),
-    "address": re.compile(r"гуляли|автобус|маршрут|рубл|кабинет|страниц|верси|до темноты|серия \d|сезон", re.I),
+    "email": re.compile(r"подпис|кличк|лает|аккаунт|канал", re.I),
+    "phone": re.compile(r"заказ|трек|накладн|догов[оа]р|штрих|артикул|сч[её]тчик|показани|сумма|верси|инн\b|снилс|паспорт|сери[яи]|рубл|страхов|автобус|код\b|isbn", re.I),
+    "id_number": re.compile(r"заказ|трек|накладн|догов[оа]р|штрих|артикул|сч[её]тчик|показани|сумма|верси|рубл|автобус|встреча|звони|набери|телефон|переведи|isbn|счёт\b", re.I),
+    "address": re.compile(r"гуля|автобус|маршрут|рубл|кабинет|страниц|верси|серия \d|сезон|стать[яюи]|глав[аеу]", re.I),
     "name": re.compile(r"улиц|площад|имени\b|роман[а-я]* писат|фильм|книг|песн|режисс|актер|памятник|музей", re.I),
 }
 DIGITS = re.compile(r"(?<![\w.])\+?\(?\d(?:[\d()\s.№\-]|(?:,?\s*(?:серия|номер)\s+))*\d(?![\w])", re.I)
@@ -66,17 +70,23 @@ EMAIL = re.compile(r"(?:mailto:)?[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\(собака\)
 SPOKEN = re.compile(rf"(?<!\w)(?:плюс\s+)?{_N}(?:(?:\s+|,\s*|\s+номер\s+){_N})+(?!\w)", re.I)
 _S = r"[А-ЯЁа-яё][а-яёА-ЯЁ\-]{3,}"
 _STREET = r"[А-ЯЁа-яё][а-яёА-ЯЁ\-]*(?:ая|яя|ую|юю|ой|ей)"
-_HOUSE = rf"(?:(?:д\.?|дом)\s*)?(?:\d{{1,4}}(?:\s?[кккк/\-]\s?\d{{1,4}})?|{_N}(?:\s+{_N})?(?:\s+{_N})?)(?!\s*(?:руб|час|мин|дн|лет|год|км|мет|этаж|раз|\d{{2}}:))"
+# Words for kinds of streets, whole and short.
+_SORT = r"(?:улиц[аеуы]|ул|проспект[аеу]?|просп|пр-к?т|пр|переул(?:ок|ка|ке|ку)|пер|шоссе|ш|бульвар[аеу]?|б-р|бул|набережн(?:ая|ой|ую)|наб|площад[ьи]|пл|проезд[аеу]?|тупик[аеу]?|алле[яюи]|линия|тракт)"
+_BUILDING = r"\d{1,4}(?:\s?(?:[кКkK/\-]|корп(?:ус)?\.?|стр(?:оение)?\.?|лит(?:ера)?\.?)\s?\d{1,4}|\s?[А-Яа-я](?![\w.]))?"
+_UNIT = r"(?!\s*(?:руб|час|мин|дн|лет|год|км|мет|этаж|раз|сек|процент|%|шт|кг|\d{2}:))(?!:\d)"
+_HOUSE = rf"(?:(?:д\.?|дом)\s*)?(?:{_BUILDING}|{_N}(?:\s+{_N})?(?:\s+{_N})?){_UNIT}"
 _FLAT = rf"(?:,?\s*(?:кв\.?|квартира)\s*(?:\d{{1,4}}|{_N}(?:\s+{_N})?(?:\s+{_N})?))"
 _TOWN = r"(?:\d{6},\s*(?:г\.\s*|город\s+)?|г\.\s*|город\s+)[А-ЯЁа-яё][а-яёА-ЯЁ\-]+,\s*"
 ADDRESS = re.compile(
-    rf"(?:{_TOWN})?(?:ул\.?\s*|улица\s+|улице\s+|улицу\s+|пр\.\s*|проспект\s+|пер\.\s*|переулок\s+|шоссе\s+|бульвар\s+){_S},?\s*{_HOUSE}{_FLAT}?"
-    rf"|(?:{_TOWN})?{_STREET}\s+(?:улица|ул\.?|улице|улицу),?\s*{_HOUSE}{_FLAT}?"
+    rf"(?:{_TOWN})?(?<!\w){_SORT}(?:\.\s*|\s+){_S}(?:\s[А-ЯЁ][а-яё\-]{{3,}})?,?\s*{_HOUSE}{_FLAT}?"
+    rf"|(?:{_TOWN})?{_STREET}\s+{_SORT}\b\.?,?\s*{_HOUSE}{_FLAT}?"
     rf"|\d{{6}},\s*{_TOWN}{_S},\s*{_HOUSE}{_FLAT}?|(?:г\.|город)\s*{_S},\s*{_S},\s*{_HOUSE}{_FLAT}?"
-    rf"|{_S},\s*{_STREET},\s*(?:д\.?|дом)\s*\d{{1,4}}{_FLAT}?|(?:на\s+)?{_STREET},?\s+{_HOUSE}{_FLAT}|на\s+[А-ЯЁ][а-яё\-]*ую,\s*{_HOUSE}{_FLAT}?"
-    rf"|(?:на\s+)?{_STREET},?\s+(?:\d{{1,4}}|{_N}(?:\s+{_N}){{0,2}})(?=,?\s+(?:перв|втор|трет|четв|пят|\d+)\S*\s+(?:подъезд|этаж)|,?\s+у\s+консьержа)", re.I)
+    rf"|{_S},\s*{_STREET},\s*(?:д\.?|дом)\s*\d{{1,4}}{_FLAT}?|(?:на\s+)?{_STREET},?\s+{_HOUSE}{_FLAT}|на\s+[А-ЯЁ][а-яё\-]*ую,\s*{_HOUSE}{_FLAT}?", re.I)
+#: A street of adjective form and a house, no more: an address only where a cue stands before it.
+BARE = re.compile(rf"(?:на\s+|в\s+)?{_STREET},?\s+{_HOUSE}", re.I)
 TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
-SURNAME = re.compile(r".{2,}(?:[оеё]в|[иы]н|ский|цкий|[оеё]ва|[иы]на|ская|цкая|[оеё]ву|[иы]ну|[оеё]вой|[иы]ной|[оеё]вым|[иы]ным|ского|скому|скую|ской|цкой|[оеё]ве|[оеё]вых|[иы]ных)\Z")
+# Endings of family names and patronymics, of all cases.
+SURNAME = re.compile(r".{2,}(?:енко|[аеоиу]йко|ч[уе]к(?:а|у|ом|е)?|щук(?:а|у|ом|е)?|[юу]к|[ая]нян|ян|швили|дзе|берг(?:а|у|ом|е)?|штейн(?:а|у|ом|е)?|ман|ич|ей?ко|[оеё]в|[иы]н|ский|цкий|[оеё]ва|[иы]на|ская|цкая|[оеё]ву|[иы]ну|[оеё]вой|[иы]ной|[оеё]вым|[иы]ным|ского|скому|скую|ской|цкой|[оеё]ве|[оеё]вых|[иы]ных)\Z")
 PATRONYMIC = re.compile(r".{2,}(?:[оеё]вич(?:а|у|ем|е)?|[оеё]вн(?:а|ы|е|у|ой)|ьич(?:а|у|ом|е)?|иничн(?:а|ы|е|у|ой))\Z")
 
 
@@ -179,8 +189,9 @@ def number_runs(text: str) -> list[tuple[int, int]]:
 
 
 def _numbers(text: str) -> Iterator[Span]:
-    found = [(a, b, re.sub(r"\D", "", text[a:b]), text[a:b], False) for a, b in number_runs(text)]
-    if re.search(r"(?:сот|дцать|десят|сорок|девяносто|сто)\b", text, re.I):
+    found = [(a, b, re.sub(r"\D", "", text[a:b]), text[a:b], False) for a, b in number_runs(text)] if sum(map(text.count, "0123456789")) >= 9 else []
+    low = text.lower()
+    if sum(map(low.count, _SPOKEN_STEMS)) >= 5:
         for m in SPOKEN.finditer(text):
             d = spoken_digits(m.group())
             if len(d) >= 9:
@@ -197,8 +208,8 @@ def _numbers(text: str) -> Iterator[Span]:
             plus = 1 if raw.startswith("+") or said and raw.lower().startswith("плюс") or n == 11 and d[:2] in ("79", "89") and not direct else 0
             yield "phone", a, b, (1 if mobile else 0 if direct and d[0] in "789" else -1, 1 if grouped and mobile else 0, plus, odd, *_cue("phone", before, after)), shape
         if n in (9, 10, 11, 12):
-            layout = 1 if re.fullmatch(r"\d{3}[ \-]\d{3}[ \-]\d{3}[ \-]\d\d|\d\d ?\d\d\s*№?\s*\d{6}|(?:\d{4}|\d\d \d\d),?\s*номер\s*\d{6}|\d{4}\s+\d{6}", raw, re.I) else 0
-            sort = 1 if re.search(r"инн\W*$|снилс\W*$|страхов\w*\W*$|паспорт\w*\W*(?:серия\W*)?$|сери[яи]\W*(?:и\s+номер\W*)?$", before) or re.match(r"\W*это\s+паспорт", after) else 0
+            layout = 1 if re.fullmatch(r"\d{3}[ \-]\d{3}[ \-]\d{3}[ \-]\d\d|(?:\d{4}|\d\d \d\d)(?:\s*№\s*|\s+|,?\s*номер\s*)\d{6}", raw, re.I) else 0  # a plain run of digits has none
+            sort = 1 if re.search(r"инн\W*$|снилс\W*$|страхов\w*\W*$|пасп\w*\W*(?:серия\W*)?$|сери[яи]\W*(?:и\s+номер\W*)?$", before) or re.match(r"\W*это\s+паспорт", after) else 0
             if raw.startswith("+"):
                 layout = sort = 0
             size = 1 if n == 10 or n == 12 or (n == 11 and layout) else 0
@@ -220,19 +231,25 @@ def _emails(text: str) -> Iterator[Span]:
 
 
 def _addresses(text: str) -> Iterator[Span]:
+    taken: list[tuple[int, int]] = []
     for m in ADDRESS.finditer(text):
         raw, start = m.group(), m.start()
         if (lead := re.match(r"[а-яё\-]+,\s*", raw)) and re.search(_STREET, raw[lead.end():]):  # a word before the street that is no town
             raw, start = raw[lead.end():], start + lead.end()
-        before, after = _near(text, start, m.end())
-        street = 1 if re.search(r"\bул\b|улиц|проспект|переул|шоссе|бульвар", raw, re.I) else 0
+        taken.append((start, m.end()))
+    if CUES["address"].search(text):
+        taken += [m.span() for m in BARE.finditer(text) if CUES["address"].search(_near(text, *m.span())[0]) and not any(m.start() < e and a < m.end() for a, e in taken)]
+    for start, end in taken:
+        raw, (before, after) = text[start:end], _near(text, start, end)
+        street = 1 if re.search(rf"\b{_SORT}\b", raw, re.I) else 0
         flat = 1 if re.search(r"\bкв\b|квартира|\d[/\-]\d", raw, re.I) else 0
         town = 1 if re.search(r"\d{6},|\bг\.|город", raw, re.I) else 0
         house = 1 if re.search(r"\bд\.|\bдом\b", raw, re.I) else 0
         named = re.search(r"([а-яё\-]{3,}(?:ая|яя|ую|юю))\b", raw, re.I)
-        yield "address", start, m.end(), (street, flat, town, house, 1 if named else 0, *_cue("address", before, after)), re.sub(r"\d+", "0", re.sub(r"[^\W\d_]{4,}", "a", raw.lower()))[:24]
+        yield "address", start, end, (street, flat, town, house, 1 if named else 0, *_cue("address", before, after)), re.sub(r"\d+", "0", re.sub(r"[^\W\d_]{4,}", "a", raw.lower()))[:24]
 
 
+_OPENS = re.compile(r"(?:\A|[.!?…:\n])\s*\Z")  # where a sentence begins
 _INITIAL = re.compile(r"\b[А-ЯЁ]\.|\b[а-яё]\.\s?[а-яё]\.")
 
 
@@ -252,12 +269,26 @@ def _given(word: str) -> bool:
     return _kind(word) in ("g", "p")
 
 
-def _names(text: str, rare: dict[str, float] | None) -> Iterator[Span]:
-    """Runs of given name, patronymic, surname and initials with at least two parts."""
+def _names(text: str, rare: np.ndarray | None) -> Iterator[Span]:
+    """Runs of given name, patronymic, surname and initials with at least two parts.
+
+    A word in capitals is a family name whatever its ending if it stands beside a given name with
+    patronymic, or beside a given name and mostly beside names in all texts.
+    """
     if not any(map(_given, TOKEN.findall(text))) and not _INITIAL.search(text):
         return
     toks = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
     kind = [("i" if len(w) == 1 and text[b: b + 1] == "." and w.lower() not in "ь ы ъ" else _kind(w)) for _, b, w in toks]
+    for x, k in enumerate(kind):  # a family name of any ending: beside given name and patronymic, or mostly met beside names
+        if k != "g" or not toks[x][2][0].isupper():
+            continue
+        last = x + 1 if kind[x + 1: x + 2] == ["p"] else x
+        for y, gap in ((x - 1, text[toks[x - 1][1]: toks[x][0]] if x else ""), (last + 1, text[toks[last][1]: toks[last + 1][0]] if last + 1 < len(toks) else "")):
+            if gap == " " and not kind[y] and len(toks[y][2]) > 3 and toks[y][2][0].isupper():
+                known = rare is not None and rare[word_bucket(toks[y][2].lower().replace("ё", "е"))] >= 0.6
+                if known or last > x and (y > x or not _OPENS.search(text, max(0, toks[y][0] - 3), toks[y][0])):
+                    kind[y] = "s"
+                    break
     i = 0
     while i < len(toks):
         if not kind[i]:
@@ -276,7 +307,7 @@ def _names(text: str, rare: dict[str, float] | None) -> Iterator[Span]:
                     before, after = _near(text, a, b)
                     cased = [w[0].isupper() for w, k in zip(words, parts, strict=True) if k != "i"]
                     fam = [w.lower().replace("ё", "е") for w, k in zip(words, parts, strict=True) if k == "s"]
-                    odd = rare.get(fam[0], 1.0) if rare is not None and fam else 1.0
+                    odd = float(rare[word_bucket(fam[0])]) if rare is not None and fam else 1.0
                     votes = (1 if "p" in parts else 0, 1 if "i" in parts else 0, 1 if all(cased) else -1 if len(cased) > 1 and cased[0] and not cased[1] else 0,
                              1 if odd >= 0.5 else -1 if odd < 0.2 else 0, *_cue("name", before, after))
                     yield "name", a, b, votes, parts + ("A" if all(cased) else "a") + (f" {round(odd, 1)}")
@@ -288,46 +319,58 @@ def _names(text: str, rare: dict[str, float] | None) -> Iterator[Span]:
         i += 1
 
 
-_PLACE = re.compile(r"\bул\b|улиц[аеу]\b|\bкв\b|квартира|\bдом\s|\bд\.|\bг\.|\bгород\b|ую, \d|\d{6}, |проспект|переул|шоссе|бульвар|подъезд|консьерж", re.I)
+_PLACE = re.compile(rf"\b{_SORT}\b|\bкв\b|квартира|\bдом\s|\bд\.|\bг\.|\bгород\b|[уо][юй],? (?:\d|{_N})|ая,? (?:\d|{_N})|\d{{6}}, ", re.I)
 
 
-def spans(text: str, rare: dict[str, float] | None = None) -> list[Span]:
+def spans(text: str, rare: np.ndarray | None = None) -> list[Span]:
     out = list(_emails(text))
-    if sum(map(text.count, "0123456789")) >= 9 or "сот" in text or "ста " in text or "десят" in text:
-        out += _numbers(text)
+    out += _numbers(text)
     if _PLACE.search(text):
         out += _addresses(text)
     out += _names(text, rare)
     return out
 
 
+@lru_cache(maxsize=200_000)
+def word_bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) & (WORD_BUCKETS - 1)
+
+
 def name_counts(texts: list[str]) -> Counter:
-    """(surname-like word, stands beside a given name, patronymic or initial): count."""
+    """(bucket of a word of surname form or in capitals, stands beside a given name, patronymic or initial): count."""
     out: Counter = Counter()
     for t in texts:
         toks = TOKEN.findall(t)
         kinds = list(map(_kind, toks))
         for i, k in enumerate(kinds):
-            if k == "s":
+            if k == "s" or not k and len(toks[i]) > 3 and toks[i][0].isupper():
                 near = [x for x in (i - 1, i + 1) if 0 <= x < len(toks)]
-                out[toks[i].lower().replace("ё", "е"), any(kinds[x] in ("g", "p") or len(toks[x]) == 1 and toks[x].lower() not in "аиоувксяэ" for x in near)] += 1
+                out[word_bucket(toks[i].lower().replace("ё", "е")), any(kinds[x] in ("g", "p") or len(toks[x]) == 1 and toks[x].lower() not in "аиоувксяэ" for x in near)] += 1
     return out
 
 
-def expectation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
-    """Probability that a span is of its kind, for each vote pattern; labelers are independent given the truth."""
+def expectation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, trust: float = 0.1) -> dict[tuple[int, ...], float]:
+    """Probability that a span is of its kind, for each vote pattern; labelers are independent given the truth.
+
+    A labeler's vote for never speaks against, nor its vote against for, and silence speaks less than a vote:
+    otherwise two sorts of true spans, with and without some sign, could be taken for true and false ones.
+    The belief that votes tend to be right weighs as much as the share ``trust`` of the spans, so the outcome
+    depends on the shares of the patterns and not on how many spans there are.
+    """
     if not patterns:
         return {}
     v = np.array([p for p, _ in patterns])
-    n = np.array([c for _, c in patterns], float)
+    n = np.array([c for _, c in patterns], float) / sum(c for _, c in patterns)
     post = np.clip(0.5 + 0.22 * v.sum(1), 0.05, 0.95)  # labelers start as better than chance
     like = (v[:, :, None] == np.array([-1, 0, 1])).astype(float)
     for _ in range(rounds):
-        prior = (n @ post + 1) / (n.sum() + 2)
-        agree = np.array([[0.5, 2, 3.5]]), np.array([[3.5, 2, 0.5]])  # weak prior: votes tend to be right
-        pos = (np.einsum("p,plk->lk", n * post, like) + agree[0]) / (n @ post + 6)
-        neg = (np.einsum("p,plk->lk", n * (1 - post), like) + agree[1]) / (n @ (1 - post) + 6)
-        z = np.log(prior / (1 - prior)) + np.einsum("plk,lk->p", like, np.log(pos) - np.log(neg))
+        prior = np.clip(n @ post, 0.02, 0.98)
+        pos = (np.einsum("p,plk->lk", n * post, like) + trust * np.array([0.1, 0.35, 0.55])) / (n @ post + trust)
+        neg = (np.einsum("p,plk->lk", n * (1 - post), like) + trust * np.array([0.55, 0.35, 0.1])) / (n @ (1 - post) + trust)
+        llr = np.log(pos) - np.log(neg)
+        llr[:, 0], llr[:, 2] = np.minimum(llr[:, 0], 0), np.maximum(llr[:, 2], 0)
+        llr[:, 1] = np.clip(llr[:, 1], llr[:, 0] / 2, llr[:, 2] / 2).clip(-1, 1)
+        z = np.log(prior / (1 - prior)) + np.einsum("plk,lk->p", like, llr)
         post = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
     # a span that no labeler supports is none, whatever the estimates
     return {p: float(x) if max(p) > 0 else 0.0 for (p, _), x in zip(patterns, post, strict=True)}
@@ -347,105 +390,124 @@ def hash_text(s: str) -> int:
     return (h ^ (h >> 15)) & ((1 << BITS) - 1)
 
 
-def fit_classifier(rows: list[tuple[list[int], float]], rounds: int = 150, l2: float = 1.0) -> np.ndarray:
-    """Logistic regression on soft labels."""
+def fit_classifier(rows: list[tuple[list[int], float, float]], rounds: int = 150, l2: float = 1.0) -> np.ndarray:
+    """Logistic regression on soft labels: rows of (features, probability, weight)."""
     w = np.zeros(1 << BITS)
     if not rows:
         return w
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    col = np.concatenate([f for f, _ in rows]).astype(np.int64)
-    y = np.array([p for _, p in rows])
-    scale = 1 / (np.bincount(col, minlength=1 << BITS) * 0.25 * (len(col) / len(rows)) ** 0.5 + l2)
+    row = np.repeat(np.arange(len(rows)), [len(f) for f, *_ in rows])
+    col = np.concatenate([f for f, *_ in rows]).astype(np.int64)
+    y, c = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    c *= len(rows) / c.sum()
+    scale = 1 / (np.bincount(col, c[row], 1 << BITS) * 0.25 * (len(col) / len(rows)) ** 0.5 + l2)
     m = np.zeros_like(w)
     for _ in range(rounds):
-        r = 1 / (1 + np.exp(-np.bincount(row, w[col], len(rows)))) - y
+        r = c * (1 / (1 + np.exp(-np.bincount(row, w[col], len(rows)))) - y)
         m = 0.8 * m - 0.25 * scale * (np.bincount(col, r[row], 1 << BITS) + l2 * 0.05 * w)
         w = w + m
     return w
 
 
-def detect(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, kind, start, end, probability) of the accepted spans; end is exclusive, in code points.
+_unpack = lru_cache(maxsize=10_000)(lambda s: tuple("-0+".index(c) - 1 for c in s))
+_CAND = "array<struct<kind: string, start: long, end: long, votes: string, seen: string, before: string, after: string>>"
+_CAND_ARROW = pa.list_(pa.struct([(f, pa.int64() if f in ("start", "end") else pa.string()) for f in ("kind", "start", "end", "votes", "seen", "before", "after")]))
 
-    Null and empty texts have none; repeated rows give their spans once each; texts are searched whole.
-    """
-    spark = texts.sparkSession
-    stage = Stage(spark, "pii")
-    src = texts.select(*keys, F.col(text).alias("__text")).where(F.length("__text") >= 5)
-    at = len(keys)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text")
 
+def _shares(src: DataFrame) -> np.ndarray:
+    """Per bucket: the share of its words of surname form that stand beside other parts of a name; 1 where there are none."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total = np.zeros((2, WORD_BUCKETS), np.int64)
         for b in batches:
-            total.update(name_counts(b.column(0).to_pylist()))
-            if len(total) > 200_000:
-                yield _counter(total)
-                total = Counter()
-        yield _counter(total)
+            for (k, near), n in name_counts(b.column(0).to_pylist()).items():
+                total[int(near), k] += n
+        at = np.nonzero(total.any(0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[1, at]), pa.array(total[0, at])], ["bucket", "near", "far"])
+
+    got = src.select("__text").mapInArrow(count, "bucket int, near long, far long").groupBy("bucket").agg(F.sum("near").alias("near"), F.sum("far").alias("far")).toArrow()  # at most WORD_BUCKETS rows
+    near, far = got.column("near").to_numpy(), got.column("far").to_numpy()
+    out = np.ones(WORD_BUCKETS, np.float32)
+    out[got.column("bucket").to_numpy()] = near / np.maximum(near + far, 1)
+    return out
 
-    def _counter(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.bool_()), pa.array(list(c.values()), pa.int64())], ["word", "near", "n"])
 
-    # words of surname form that often stand elsewhere; only common words are of use, so the list is short
-    often = (src.select("__text").mapInArrow(count, "word string, near boolean, n long").groupBy("word")
-             .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("near"), F.col("n")).otherwise(0)).alias("near")).where("n >= 3 and near < 0.5 * n")
-             .orderBy(F.desc("n"), "word").limit(50_000))  # a stop list, bounded; rarer words count as rare
-    rare = spark.sparkContext.broadcast({r.word: r.near / r.n for r in often.collect()})
+def _proposed(src: DataFrame, keys: list[str], stage: Stage, whole: bool) -> DataFrame:
+    """(keys, [text], cands) of every row of (keys, __text), candidates with their votes; rows without any only if ``whole``, which also keeps the text."""
+    rare = src.sparkSession.sparkContext.broadcast(_shares(src.where("__text is not null")))
+    at = len(keys)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, of = [], []
-            for i, t in enumerate(b.column(at).to_pylist()):
-                for k, x, y, v, seen in spans(t, rare.value):
-                    rows.append((k, x, y, "".join("-0+"[q + 1] for q in v), seen, *_near(t, x, y)))
-                    of.append(i)
-            take = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(at)), *(pa.array([r[c] for r in rows], pa.int64() if c in (1, 2) else pa.string()) for c in range(7))],
-                                             [*keys, "kind", "start", "end", "votes", "seen", "before", "after"])
-
-    cand = stage.cut(src.mapInArrow(propose, head + ", kind string, start long, end long, votes string, seen string, before string, after string"))
-    unpack = lambda s: tuple("-0+".index(c) - 1 for c in s)
-    patterns = cand.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # at most 3**7 patterns a kind
-    total = sum(r.n for r in patterns)
-    post = {k: expectation([(unpack(r.votes), r.n) for r in patterns if r.kind == k]) for k in KINDS}
-    share = min(1.0, TRAIN_SPANS / max(1, total))
-    sample = cand.where(F.pmod(F.xxhash64("before", "after", "start", "votes"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("kind", "before", "after", "seen", "votes").collect()
-    sample.sort()
-    w = fit_classifier([(features(r.kind, r.before, r.after, r.seen, unpack(r.votes)), post[r.kind][unpack(r.votes)]) for r in sample])
-    model = spark.sparkContext.broadcast(w)  # of a fixed size
+            texts = b.column(at).to_pylist()
+            rows = [[(k, x, y, "".join("-0+"[q + 1] for q in v), seen, *_near(t, x, y)) for k, x, y, v, seen in spans(t, rare.value)] if t and len(t) >= 5 else [] for t in texts]
+            cands = pa.array([[dict(zip(("kind", "start", "end", "votes", "seen", "before", "after"), r, strict=True)) for r in rs] for rs in rows], _CAND_ARROW)
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in range(at + (1 if whole else 0))), cands], [*keys, *(["__text"] if whole else []), "cands"])
+            yield out if whole else out.filter(pa.array([bool(r) for r in rows], pa.bool_()))
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if whole or f.name != "__text")
+    return stage.cut(src.mapInArrow(propose, f"{head}, cands {_CAND}"))
+
+
+def _fitted(cands: DataFrame) -> np.ndarray:
+    """The span classifier: reliabilities from the counts of all vote patterns, then a fit on a bounded sample of unlike candidates, each weighed by its number."""
+    one = cands.select(F.explode("cands").alias("c")).select("c.*")
+    patterns = one.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # at most 3**7 patterns a kind
+    post = {k: expectation([(_unpack(r.votes), r.n) for r in patterns if r.kind == k]) for k in KINDS}
+    unlike = one.groupBy("kind", "before", "after", "seen", "votes").agg(F.count("*").alias("n"))
+    spread = F.pmod(F.xxhash64("kind", "before", "after", "seen", "votes"), F.lit(1 << 20))
+    total = one.select(F.approx_count_distinct(F.xxhash64("kind", "before", "after", "seen", "votes"))).first()[0]
+    sample = unlike.where(spread <= int(min(1.0, TRAIN_SPANS / max(1, total)) * (1 << 20))).collect()
+    return fit_classifier(sorted((features(r.kind, r.before, r.after, r.seen, _unpack(r.votes)), post[r.kind][_unpack(r.votes)], float(r.n)) for r in sample))
+
+
+def _judged(model: np.ndarray, cands: list[dict]) -> list[tuple[str, int, int, float]]:
+    z = [model[features(c["kind"], c["before"], c["after"], c["seen"], _unpack(c["votes"]))].sum() for c in cands]
+    p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+    return [(c["kind"], c["start"], c["end"], float(x)) for c, x in zip(cands, p, strict=True) if x >= 0.5]
+
+
+def detect(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, kind, start, end, probability) of the accepted spans; end is exclusive, in code points.
+
+    Null and empty texts have none; repeated rows give their spans once each; texts are searched whole.
+    """
+    spark = texts.sparkSession
+    src = texts.select(*keys, F.col(text).alias("__text")).where(F.length("__text") >= 5)
+    cand = _proposed(src, keys, Stage(spark, "pii"), False)
+    model, at = spark.sparkContext.broadcast(_fitted(cand)), len(keys)  # of a fixed size
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(at + c).to_pylist() for c in (0, 3, 4, 5, 6)]
-            z = [model.value[features(k, x, y, seen, unpack(v))].sum() for k, v, seen, x, y in zip(*cols, strict=True)]
-            p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(at + 3)), pa.array(p)], [*keys, "kind", "start", "end", "probability"])
+            got = [(i, *s) for i, cs in enumerate(b.column(at).to_pylist()) for s in _judged(model.value, cs)]
+            take = pa.array([g[0] for g in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(at)), pa.array([g[1] for g in got], pa.string()), *(pa.array([g[c] for g in got], pa.int64()) for c in (2, 3)), pa.array([g[4] for g in got], pa.float64())],
+                                             [*keys, "kind", "start", "end", "probability"])
 
-    judged = cand.mapInArrow(judge, head + ", kind string, start long, end long, probability double")
-    return judged.where("probability >= 0.5")
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text")
+    return cand.mapInArrow(judge, head + ", kind string, start long, end long, probability double")
 
 
 def masked(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, text) of every row, accepted spans replaced with placeholders; of overlapping spans the likeliest stays."""
-    # one struct as the key: rows of null keys, and unlike texts under equal keys, keep their own spans
-    src = texts.select(*keys, F.col(text).alias("__text"), F.struct(*keys, F.xxhash64(text).alias("h")).alias("__k"))
-    found = detect(src, ["__k"], "__text").groupBy("__k").agg(F.collect_set(F.struct("start", "end", "kind", "probability")).alias("spans"))  # at most a text's spans
-    both = src.join(found, "__k", "left").drop("__k")
-    at = len(keys)
+    """(keys, text) of every row, accepted spans replaced with placeholders; of overlapping spans the likeliest stays.
+
+    Texts stay with their candidates, so no text is shuffled; null texts stay null.
+    """
+    spark = texts.sparkSession
+    src = texts.select(*keys, F.col(text).alias("__text"))
+    cand = _proposed(src, keys, Stage(spark, "pii"), True)
+    model, at = spark.sparkContext.broadcast(_fitted(cand)), len(keys)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, ss in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True):
+            for t, cs in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True):
                 taken: list[tuple[int, int, str]] = []
-                for s in sorted(ss or [], key=lambda s: (-s["probability"], s["start"] - s["end"], s["start"])):
-                    if all(s["end"] <= a or s["start"] >= e for a, e, _ in taken):
-                        taken.append((s["start"], s["end"], s["kind"]))
+                for k, x, y, _ in sorted(_judged(model.value, cs) if cs else [], key=lambda s: (-s[3], s[1] - s[2], s[1])):
+                    if all(y <= a or x >= e for a, e, _ in taken):
+                        taken.append((x, y, k))
                 for a, e, k in sorted(taken, reverse=True):
                     t = t[:a] + PLACEHOLDER[k] + t[e:]
                 out.append(t)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(at)), pa.array(out, pa.string())], [*keys, text])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name in keys)
-    return both.select(*keys, "__text", "spans").mapInArrow(mask, f"{head}, `{text}` string")
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text")
+    return cand.select(*keys, "__text", "cands").mapInArrow(mask, f"{head}, `{text}` string")

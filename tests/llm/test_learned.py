@@ -32,6 +32,25 @@ def test_spoken_digits():
     assert pii.spoken_digits("серия сорок три двенадцать номер двести шестьдесят четыре сто двадцать восемь") == "4312264128"
 
 
+def test_forms_that_no_table_has():
+    def got(text):
+        return {(k, text[a:b]) for k, a, b, *_ in pii.spans(text)}
+    assert ("phone", "восемь девять один два три ноль ноль четыре пять шесть семь") in got("позвони мне восемь девять один два три ноль ноль четыре пять шесть семь")
+    assert ("name", "Шевченко Олег") in got("это Шевченко Олег") and ("name", "Гринберг Анна Сергеевна") in got("спроси Гринберг Анна Сергеевна")
+    assert ("address", "набережная Мойки 12") in got("набережная Мойки 12") and ("address", "на Лесной, 5") in got("живу на Лесной, 5") and not got("на той неделе 5 раз")
+    assert ("address", "ул. Садовая, д. 12 корп. 3, кв. 4") in got("ул. Садовая, д. 12 корп. 3, кв. 4")
+    rare = np.full(pii.WORD_BUCKETS, 0.1)
+    rare[pii.word_bucket("коваль")] = 1.0
+    assert ("name", "Коваль Ирина") in {(k, "это Коваль Ирина"[a:b]) for k, a, b, *_ in pii.spans("это Коваль Ирина", rare)} and not pii.spans("Привет Ирина", rare)
+
+
+def test_votes_for_never_speak_against():
+    votes = [((1, 1, 1), 700), ((1, 1, 0), 5000), ((1, 0, 0), 300), ((0, 0, -1), 900), ((0, 1, -1), 30)]
+    for times in (1, 1000):
+        post = pii.expectation([(p, n * times) for p, n in votes])
+        assert post[1, 1, 1] >= post[1, 1, 0] >= 0.9 and post[0, 0, -1] == 0 and post == pii.expectation(votes)
+
+
 def test_numbers_beside_numbers():
     def got(text):
         return {(k, text[a:b]) for k, a, b, *_ in pii.spans(text) if k in ("phone", "id_number")}
