@@ -230,15 +230,15 @@ def _emails(text: str) -> Iterator[Span]:
         yield "email", m.start(), m.end(), (sign, end, 1 if latin else -1, *_cue("email", before, after)), "@" if "@" in raw else "said"
 
 
-def _addresses(text: str) -> Iterator[Span]:
+def _addresses(text: str, a: int = 0, b: int = 1 << 60) -> Iterator[Span]:
     taken: list[tuple[int, int]] = []
-    for m in ADDRESS.finditer(text):
+    for m in ADDRESS.finditer(text, a, b):
         raw, start = m.group(), m.start()
         if (lead := re.match(r"[а-яё\-]+,\s*", raw)) and re.search(_STREET, raw[lead.end():]):  # a word before the street that is no town
             raw, start = raw[lead.end():], start + lead.end()
         taken.append((start, m.end()))
-    if CUES["address"].search(text):
-        taken += [m.span() for m in BARE.finditer(text) if CUES["address"].search(_near(text, *m.span())[0]) and not any(m.start() < e and a < m.end() for a, e in taken)]
+    if CUES["address"].search(text, max(0, a - 40), b):
+        taken += [m.span() for m in BARE.finditer(text, a, b) if CUES["address"].search(_near(text, *m.span())[0]) and not any(m.start() < e and s < m.end() for s, e in taken)]
     for start, end in taken:
         raw, (before, after) = text[start:end], _near(text, start, end)
         street = 1 if re.search(rf"\b{_SORT}\b", raw, re.I) else 0
@@ -319,14 +319,34 @@ def _names(text: str, rare: np.ndarray | None) -> Iterator[Span]:
         i += 1
 
 
-_PLACE = re.compile(rf"\b{_SORT}\b|\bкв\b|квартира|\bдом\s|\bд\.|\bг\.|\bгород\b|[уо][юй],? (?:\d|{_N})|ая,? (?:\d|{_N})|\d{{6}}, ", re.I)
+#: No address is without one of these, and without a number near by.
+_ANCHOR = re.compile(r"улиц|ул\b|просп|пр[.\- ]|переул|пер[. ]|шоссе|ш\.|бульв|бул\.|б-р|наб|площад|пл\.|проезд|тупик|алле[яюи]|линия|тракт|кв[. ]|квартир|дом |д\.|г\.|город |(?:[уо][юй]|[ая]я|ей),? (?=\d|[одтчпшсв])")
+_NUMBER = re.compile(r"\d|один|два|две|три|четыр|пять|шесть|семь|восем|девят|десят|дцать|сорок|сто")
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """Stretches, on borders of words, that every address of the text lies in."""
+    low = text.lower()
+    if not _NUMBER.search(low):
+        return []
+    if len(low) != len(text):
+        return [(0, len(text))]
+    out: list[tuple[int, int]] = []
+    for m in _ANCHOR.finditer(low):
+        if _NUMBER.search(low, m.start(), m.end() + 60):
+            a, b = low.rfind(" ", 0, max(0, m.start() - 80)) + 1, min(len(low), m.end() + 120)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
 
 
 def spans(text: str, rare: np.ndarray | None = None) -> list[Span]:
     out = list(_emails(text))
     out += _numbers(text)
-    if _PLACE.search(text):
-        out += _addresses(text)
+    for a, b in _places(text):
+        out += _addresses(text, a, b)
     out += _names(text, rare)
     return out
 
