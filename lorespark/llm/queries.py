@@ -114,7 +114,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES |= {"p9_mix": p9_mix, "p9_shares": p9_shares}
+def p9_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached by the exponent at which the weights have the entropy of the targets."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), by="entropy")[1]
+
+
+def p9_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached by the smallest exponent at which no source exceeds its limit."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), by="limit")[1]
+
+
+QUERIES |= {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_entropy": p9_entropy, "p9_limit": p9_limit}
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,9 +236,29 @@ def test_weights():
     assert mixing.entropy(w) == pytest.approx(0.9, abs=1e-6) and 0 < tau < 1
     tau, w = mixing.temperature_weights(tok, max_repeats={"a": 2, "b": 2, "c": 2})
     assert max(1110 * w[s] / tok[s] for s in tok) == pytest.approx(2, rel=1e-6)
-    g = mixing.target_weights(tok, {"a": 0.5, "b": 0.3, "c": 0.1, "d": 0.1}, {"a": 1, "b": 9, "c": 2, "d": 5}, 1110)
+    g, alpha = mixing.target_weights(tok, {"a": 0.5, "b": 0.3, "c": 0.1, "d": 0.1}, {"a": 1, "b": 9, "c": 2, "d": 5}, 1110)
     assert g["c"] == 20 and g["d"] == 0 and g["a"] / g["b"] == pytest.approx(5 / 3) and sum(g.values()) == pytest.approx(1110)
-    assert sum(mixing.target_weights(tok, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, 1e9).values()) == 1100
+    assert 0 < alpha["c"] < 1 == alpha["a"] == alpha["b"]
+    assert sum(mixing.target_weights(tok, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, 1e9)[0].values()) == 1100
+
+
+def test_stretches_keep_the_tokens():
+    text = ("слово and 12345 — ещё...  \n" * 9000) + "x" * 250_000 + " конец слов"
+    enc = mixing._encoding(open(mixing.TOKENIZER, "rb").read())
+    parts = list(mixing.stretches(text))
+    assert "".join(parts) == text and len(parts) > 2 and sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(text))
+
+
+def test_mixtures_follow_the_exponent(spark):
+    docs = spark.createDataFrame([(i, "кот дом лес " * (1 + i % 3), s) for i, s in enumerate(["big"] * 3000 + ["mid"] * 300 + ["tiny"] * 30)], "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 4), ("tiny", 0.2, 4)], "source string, target_share double, max_repeats int")
+    share = {by: {r.source: r for r in mixing.mix(docs, goal, by=by)[1].collect()} for by in ("limit", "entropy", "targets")}
+    assert all(r.repeats <= r.max_repeats + 1e-9 for x in share.values() for r in x.values())
+    lim, ent = share["limit"]["big"].exponent, share["entropy"]["big"].exponent
+    assert 0 < ent < lim < 1 and share["limit"]["tiny"].repeats == pytest.approx(4, rel=0.01)
+    t = {s: r.tokens for s, r in share["limit"].items()}
+    w = mixing._normal({s: float(x) ** lim for s, x in t.items()})
+    assert all(share["limit"][s].share == pytest.approx(w[s], abs=0.001) for s in t if s != "big")
 
 
 def test_mix(spark):
