@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.dates import between_dates
@@ -64,6 +64,32 @@ def inverted_index(chunks: DataFrame, id_col: str = "id", text: str = "text", st
     return words.groupBy("term", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+INDEX_BUCKETS = 64
+
+
+def write_index(index: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
+    """Store an inverted index, one folder per hash of the term, so that a query reads its terms' folders only.
+
+    Rows of a frequent term are spread over several files of its folder by the chunk's id.
+    """
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    spread = F.pmod(F.xxhash64("id"), F.lit(8))
+    (index.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def stored_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def of_terms(index: DataFrame, wanted: list[str], buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """The index rows of some terms; of a stored index only their folders are read."""
+    hit = index.where(F.col("term").isin(*wanted))
+    if "bucket" not in index.columns:
+        return hit
+    own = index.sparkSession.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in wanted])).first()[0]
+    return hit.where(F.col("bucket").isin(*sorted(set(own))))
+
+
 def parse_query(q: str, stemmed: bool = True) -> tuple[list[list[list[str]]], list[list[str]]]:
     """Web-search syntax: (all of: any of: phrase of terms, none of: phrases).  Words are ANDed, 'or' joins neighbours, quotes make phrases, a minus excludes."""
     must: list[list[list[str]]] = []
@@ -134,7 +160,7 @@ def fts_leg(index: DataFrame, query: str, pool: int, stemmed: bool = True) -> Da
             got = [(i, cover_density({p["term"]: list(p["positions"]) for p in ps}, must, never)) for i, ps in zip(pdf.id, pdf.ps, strict=True)]
             yield pd.DataFrame([g for g in got if g[1] is not None], columns=["id", "rank_cd"])
 
-    hits = index.where(F.col("term").isin(*wanted)).groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("ps"))  # at most the query's terms
+    hits = of_terms(index, wanted).groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("ps"))  # at most the query's terms
     required = sorted({t for alt in must if len(alt) == 1 for t in alt[0]})
     if required:
         hits = hits.where(F.size(F.array_intersect(F.transform("ps", lambda p: p["term"]), F.array(*[F.lit(t) for t in required]))) == len(required))
@@ -151,14 +177,11 @@ def fts_scan_leg(chunks: DataFrame, query: str, pool: int, stemmed: bool = True,
     must, never = parse_query(query, stemmed)
     if not must:
         return chunks.sparkSession.createDataFrame([], "id long, rank_cd double, frank long")
-    low = F.translate(F.lower(as_col(text)), "ё", "е")
-    df = chunks.select(F.col(id_col).alias("id"), F.lower(as_col(text)).alias("low"), low.alias("plain")).where("low is not null")
+    df = chunks.select(F.col(id_col).alias("id"), as_col(text).alias("raw")).where("raw is not null")
     for alternatives in must:
         heads = [t[: max(2, len(t) - 1)] if stemmed else t for p in alternatives for t in p[:1]]
-        hit = F.col("plain").contains(heads[0].replace("ё", "е"))
-        for h in heads[1:]:
-            hit = hit | F.col("plain").contains(h.replace("ё", "е"))
-        df = df.where(hit)
+        df = df.where(F.col("raw").rlike("(?iu)" + "|".join(re.escape(h).replace("е", "[её]").replace("ё", "[её]") for h in heads)))
+    df = df.withColumn("low", F.lower("raw"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,15 +198,16 @@ def fts_scan_leg(chunks: DataFrame, query: str, pool: int, stemmed: bool = True,
     return ranked(df.select("id", "low").mapInPandas(score, "id long, rank_cd double"), [F.desc("rank_cd"), F.asc("id")], pool, "frank")
 
 
-def _same(term: str):
-    return lambda w: w == F.lit(term)
-
-
 def fts_simple_leg(chunks: DataFrame, query_terms: list[str], pool: int, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, n_hits, frank): chunks with all terms, by the number of their occurrences; all in the JVM, no index."""
-    own = terms(text)
-    n = [F.size(F.filter("__t", _same(t))) for t in query_terms]
-    df = chunks.select(F.col(id_col).alias("id"), own.alias("__t"))
+    """(id, n_hits, frank): chunks with all terms (lower-case words), by the number of their occurrences; all in the JVM, no index.
+
+    Texts without the letters of every term are dropped first, so few are folded to lower case and searched for whole words.
+    """
+    raw, low = as_col(text), F.lower(as_col(text))
+    n = [F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{t}\E(?![\p{{L}}\p{{N}}])")) for t in query_terms]
+    df = chunks.select(F.col(id_col).alias("id"), raw.alias(text))
+    for t in query_terms:
+        df = df.where(raw.rlike(rf"(?iu)\Q{t}\E"))
     for c in n:
         df = df.where(c > 0)
     hits = n[0]

@@ -10,6 +10,7 @@ from lorespark.functions.quality import is_suspect, is_useless, repetition_stats
 from lorespark.functions.text import attachment_kind, collapse_repeats, fmt_duration, is_boilerplate, media_file, peer_kind, preview, sanitize_filename
 from lorespark.operators import analytics, asr, chunking, export, joins, merge, retrieval
 from lorespark.providers import HashEmbedder, OverlapScorer
+from lorespark.session import scratch_path
 from lorespark.session import table as T
 from lorespark.sources import html
 from lorespark.sources.media import url_size
@@ -80,10 +81,28 @@ def fts_and_match(s, d):
     return retrieval.fts_simple_leg(T(s, d, "chunks"), TERMS, 50)
 
 
+def _index(s, d):
+    """The stored index of the chunks, written at the session's first use."""
+    known = s.__dict__.setdefault("_lorespark_index", {})
+    if d not in known:
+        path = scratch_path(s, "index")
+        retrieval.write_index(retrieval.inverted_index(T(s, d, "chunks").select("id", "text")), path)
+        known[d] = path
+    return retrieval.stored_index(s, known[d])
+
+
 @query()
 def fts_index(s, d):
-    """The same through an inverted index."""
-    return retrieval.fts_leg(retrieval.inverted_index(T(s, d, "chunks").select("id", "text")), 'морковный кекс or суп -"на углях"', 50)
+    """The same as fts_cover_rank, through a stored inverted index."""
+    return retrieval.fts_leg(_index(s, d), 'морковный кекс or суп -"на углях"', 50)
+
+
+# one term in forms that share a stem: the rank of a single term is its number of occurrences
+@query("""WITH w AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM chunks WHERE text IS NOT NULL),
+    n AS (SELECT id, len(list_filter(w, lambda x: x IN ('кекс', 'кекса', 'кексу', 'кексом', 'кексе', 'кексы', 'кексов', 'кексам', 'кексами', 'кексах'))) AS n FROM w)
+    SELECT id, round(n * 0.1, 6) AS rank, row_number() OVER (ORDER BY n DESC, id) AS frank FROM n WHERE n > 0 ORDER BY n DESC, id LIMIT 50""")
+def fts_index_term(s, d):
+    return retrieval.fts_leg(_index(s, d), "кекс", 50).select("id", F.round("rank_cd", 6).alias("rank"), "frank")
 
 
 @query()
