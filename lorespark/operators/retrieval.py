@@ -180,7 +180,7 @@ def fts_scan_leg(chunks: DataFrame, query: str, pool: int, stemmed: bool = True,
     df = chunks.select(F.col(id_col).alias("id"), as_col(text).alias("raw")).where("raw is not null")
     for alternatives in must:
         heads = [t[: max(2, len(t) - 1)] if stemmed else t for p in alternatives for t in p[:1]]
-        df = df.where(F.col("raw").rlike("(?iu)" + "|".join(re.escape(h).replace("е", "[её]").replace("ё", "[её]") for h in heads)))
+        df = df.where(F.col("raw").rlike("(?iu)" + "|".join(re.sub("[её]", "[её]", re.escape(h)) for h in heads)))
     df = df.withColumn("low", F.lower("raw"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
