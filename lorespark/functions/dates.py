@@ -65,5 +65,6 @@ def between_months(c: Column | str, lo: tuple[int, int], hi: tuple[int, int]) ->
 
 
 def spoken_day(c: Column | str) -> Column:
+    """10 мая 2016; null for null."""
     c = as_col(c)
-    return F.concat_ws(" ", F.day(c).cast("string"), F.element_at(F.array(*[F.lit(m) for m in MONTHS_GENITIVE]), F.month(c)), F.year(c).cast("string"))
+    return F.when(c.isNotNull(), F.concat_ws(" ", F.day(c).cast("string"), F.element_at(F.array(*[F.lit(m) for m in MONTHS_GENITIVE]), F.month(c)), F.year(c).cast("string")))

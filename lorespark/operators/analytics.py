@@ -121,3 +121,53 @@ def transcript_status(voice: DataFrame, done: DataFrame, attempts: DataFrame, mo
     """(name, status): done if text and description exist, exhausted after ``most`` attempts, else left."""
     return (voice.join(done.select("name", F.lit(True).alias("__d")), "name", "left").join(attempts.select("name", "attempts"), "name", "left")
             .select("name", F.when(F.col("__d"), "done").when(F.col("attempts") >= most, "exhausted").otherwise("left").alias("status")))
+
+
+def bad_transcripts(transcripts: DataFrame) -> DataFrame:
+    """(attachment_id, reasons) of transcripts that a recogniser's loop or leftover text spoils, for another run."""
+    j = judged(transcripts)
+    why = F.filter(F.array(F.when(F.col("is_suspect"), F.lit("suspect")), F.when(F.col("is_boiler"), F.lit("boilerplate"))), lambda x: x.isNotNull())
+    return j.select("attachment_id", why.alias("reasons")).where(F.size("reasons") > 0)
+
+
+def minutes_per_peer(transcripts: DataFrame, messages: DataFrame) -> DataFrame:
+    """(peer_id, n, minutes) of recorded speech."""
+    j = transcripts.select("message_id", "duration_s").join(messages.select(F.col("id").alias("message_id"), "peer_id"), "message_id")
+    return j.groupBy("peer_id").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce(F.col("duration_s").cast("double"), F.lit(0.0))) / 60, 1).alias("minutes"))
+
+
+def queue_totals(pending: DataFrame, wanted_chats: list[int] | None = None) -> DataFrame:
+    """(reason, dialogs, pending): what is in the queue, and what is left out for each reason."""
+    r = route(pending, wanted_chats)
+    return r.groupBy(F.coalesce("skip", F.lit("queue")).alias("reason")).agg(F.count("*").alias("dialogs"), F.sum("pending").alias("pending"))
+
+
+def photo_run(photos: DataFrame, min_conf: float = 0.6, min_chars: int = 40) -> DataFrame:
+    """Counters of a run over photos: all, not ok, unsure, short, wordless, chunked, and those whose labels are no JSON array or hold a broken item."""
+    ok, conf = F.coalesce(F.col("status") == "ok", F.lit(False)), F.coalesce(F.col("ocr_conf") >= F.lit(min_conf).cast("float"), F.lit(False))
+    long, words = F.coalesce(F.length("ocr_text") >= min_chars, F.lit(False)), F.coalesce(F.regexp_count("ocr_text", F.lit(r"\p{L}{3,}")) >= 3, F.lit(False))
+    items = F.from_json("labels", "array<string>")
+    broken = F.col("labels").isNotNull() & (items.isNull() | F.exists(items, lambda x: F.get_json_object(x, "$.id").isNull() | F.get_json_object(x, "$.conf").try_cast("double").isNull()))
+    return photos.agg(F.count("*").alias("photos"), F.count_if(~ok).alias("not_ok"), F.count_if(ok & ~conf).alias("unsure"), F.count_if(ok & conf & ~long).alias("short"),
+                      F.count_if(ok & conf & long & ~words).alias("wordless"), F.count_if(ok & conf & long & words).alias("chunked"), F.count_if(F.coalesce(broken, F.lit(False))).alias("bad_labels"))
+
+
+def guesses(messages: DataFrame, peers: DataFrame, least: int = 3, top: int = 5) -> DataFrame:
+    """(peer_id, names, words) of each peer: the commonest forms of address met ``least`` times, and the most distinctive words."""
+    mine = peers.select("peer_id").distinct()
+    own = messages.join(mine, "peer_id", "left_semi")
+    v = vocatives(own, top=top).where(F.col("n") >= least).groupBy("peer_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("s"), "word"))).alias("v"))
+    d = distinctive(messages, top=top).join(mine, "peer_id", "left_semi").groupBy("peer_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("s"), (-F.col("n")).alias("n"), "word"))).alias("d"))  # at most top each
+    return mine.join(v, "peer_id", "left").join(d, "peer_id", "left").select("peer_id", F.transform("v", lambda x: x["word"]).alias("names"), F.transform("d", lambda x: x["word"]).alias("words"))
+
+
+def identify(dialogs: DataFrame, messages: DataFrame, least: int = 20) -> DataFrame:
+    """(peer_id, names, words, samples, prompt): one row per nameless dialog, with the question for a language model."""
+    cand = deleted_candidates(dialogs, messages, least)
+    s = sample_by_year(messages.join(cand.select("peer_id"), "peer_id", "left_semi"))
+    who = F.when(F.col("is_own"), F.lit("Я")).otherwise("Он")
+    lines = s.groupBy("peer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("year", "id", F.concat(F.lit("["), F.col("day"), F.lit("] "), who, F.lit(": "), F.col("text")).alias("line")))), lambda x: x["line"]).alias("samples"))  # six a year
+    g = guesses(messages, cand).join(lines, "peer_id", "left")
+    listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
+    prompt = F.concat(F.lit("Кто собеседник в этой переписке? Обращения: "), listed("names"), F.lit(". Слова: "), listed("words"), F.lit(".\n"), F.coalesce(F.array_join("samples", "\n"), F.lit("")), F.lit("\nОтвет: JSON с полями name, confidence, reason."))
+    return g.withColumn("prompt", prompt)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.dates import spoken_day
+from lorespark.functions.dates import between_months, spoken_day
 from lorespark.functions.text import fmt_duration
 
 
@@ -61,6 +61,19 @@ def write_parts(parted: DataFrame, keys: list[str], order: list[Column], path: s
     (parted.repartition(*keys, "part").sortWithinPartitions(*keys, "part", *order).select(*keys, "part", F.regexp_replace("shown", "\n+$", "").alias("value")).write.mode("overwrite").partitionBy(*keys, "part").text(path))
 
 
+def dump(messages: DataFrame, dialogs: DataFrame, peer: int, since: tuple[int, int], until: tuple[int, int]) -> DataFrame:
+    """(line) of one dialog's months in order: a header with the name, the months and the number of messages, then a line a message.  Sorted; write it as text."""
+    m = messages.where((F.col("peer_id") == peer) & between_months("sent_at", since, until))
+    who = F.when(F.col("is_own"), "Я").when(F.coalesce(F.trim("sender"), F.lit("")) != "", F.col("sender")).otherwise("?")
+    rows = m.select(F.lit(1).alias("o"), "sent_at", "vk_msg_id", "id", F.concat(F.date_format("sent_at", "yyyy-MM-dd HH:mm"), F.lit(" "), who, F.lit(": "), F.replace("text", F.lit("\n"), F.lit(" "))).alias("line"))
+    span = f"{since[0]}-{since[1]:02d} – {until[0]}-{until[1]:02d}"
+    name = dialogs.where(F.col("peer_id") == peer).agg(F.first("name").alias("name"))
+    null = F.lit(None)
+    head = m.agg(F.count("*").alias("n")).crossJoin(F.broadcast(name)).select(F.lit(0).alias("o"), null.cast("timestamp").alias("sent_at"), null.cast("long").alias("vk_msg_id"), null.cast("long").alias("id"),  # one row each
+                                                                             F.concat(F.lit("# "), F.coalesce("name", F.lit("?")), F.lit(f", {span}, сообщений: "), "n").alias("line"))
+    return head.unionByName(rows).orderBy("o", "sent_at", "vk_msg_id", "id").select("line")
+
+
 def day_changes(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     day = F.to_date("sent_at")
     return rows.withColumn("new_day", ~F.coalesce(day.eqNullSafe(F.lag(day).over(Window.partitionBy(*keys).orderBy(*order))), F.lit(False)))

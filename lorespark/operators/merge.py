@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +58,33 @@ def guarded_wipe(old: DataFrame, scope: Column, independent: DataFrame) -> DataF
     return old.where(~F.coalesce(scope, F.lit(False)))
 
 
-def merge_meta(meta: Column, patch: dict[str, str]) -> Column:
-    """JSON object with the keys of the patch set, the right side winning."""
-    m = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map().cast("map<string,string>"))
+def refresh(old: DataFrame, fresh: DataFrame, keys: list[str], scope: Column) -> DataFrame:
+    """Incremental refresh: new keys come in, rows whose key exists stay as they are (their embedding is kept), and rows of the scope whose key is gone leave."""
+    return insert_ignore(delete_stale(old, fresh, keys, scope), fresh, keys)
+
+
+def rebuild(old: DataFrame, fresh: DataFrame, peers: DataFrame, source: str) -> DataFrame:
+    """All rows of one source and of the given peers give way to the fresh ones of those peers."""
+    mine = peers.select("peer_id").distinct()
+    other = old.where(~F.coalesce(F.col("source") == source, F.lit(False))).unionByName(old.where(F.col("source") == source).join(mine, "peer_id", "left_anti").select(*old.columns))
+    return other.unionByName(fresh.where(F.col("source") == source).join(mine, "peer_id", "left_semi").select(*old.columns))
+
+
+def insert_where_none(old: DataFrame, stage: DataFrame, messages: DataFrame) -> DataFrame:
+    """Attachments of ``stage`` (by peer_id and vk_msg_id) join those of ``old``, only for messages that have none yet.
+
+    Returns old's columns without id, which the store gives; a staged row of an unknown message is left out.
+    """
+    bare = messages.select("peer_id", "vk_msg_id", F.col("id").alias("message_id")).join(old.select("message_id").distinct(), "message_id", "left_anti")
+    cols = [c for c in old.columns if c != "id"]
+    return old.select(*cols).unionByName(stage.join(bare, ["peer_id", "vk_msg_id"]).select(*cols))
+
+
+def merge_meta(meta: Column, patch: dict[str, object]) -> Column:
+    """JSON object with the keys of the patch set, the right side winning; other values keep their type.  Text that is no object counts as empty."""
+    m = F.coalesce(F.from_json(meta, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     kept = F.map_filter(m, lambda k, _: ~k.isin(*patch))
-    return F.to_json(F.map_concat(kept, F.create_map(*[F.lit(x) for kv in patch.items() for x in kv])))
+    return F.to_json(F.map_concat(kept, F.create_map(*[x for k, v in patch.items() for x in (F.lit(k), F.parse_json(F.lit(json.dumps(v, ensure_ascii=False))))])))
 
 
 def violations(df: DataFrame, keys: list[str], allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

@@ -302,45 +302,47 @@ def exists_or_exists(s, d):
     return joins.semi_any(T(s, d, "dialogs").select("peer_id", "kind"), "peer_id", seen, T(s, d, "chunks").where("source = 'photo'"))
 
 
-_HALF = "attachment_id % 2 = 0"
+#: The two sides of the merges: results of a first run, and of one that repeats what failed or gave no text; together all rows.
+_FIRST, _AGAIN = "status <> 'unreadable'", "status <> 'ok' OR ocr_text IS NULL"
 
 
-@query("""WITH old AS (SELECT attachment_id, status, bytes FROM photo_analysis WHERE attachment_id % 3 <> 0), new AS (SELECT attachment_id, 'again' AS status, n_faces::INT AS bytes FROM photo_analysis WHERE attachment_id % 2 = 0)
+@query("""WITH old AS (SELECT attachment_id, status, bytes FROM photo_analysis WHERE status <> 'unreadable'), new AS (SELECT attachment_id, 'again' AS status, n_faces::INT AS bytes FROM photo_analysis WHERE status <> 'ok' OR ocr_text IS NULL)
     SELECT coalesce(o.attachment_id, n.attachment_id) AS attachment_id, coalesce(n.status, o.status) AS status, CASE WHEN n.attachment_id IS NOT NULL THEN n.bytes ELSE o.bytes END AS bytes FROM old o FULL JOIN new n USING (attachment_id)""")
 def upsert_merge(s, d):
     p = T(s, d, "photo_analysis")
-    old = p.where("attachment_id % 3 <> 0").select("attachment_id", "status", "bytes")
-    new = p.where(_HALF).select("attachment_id", F.lit("again").alias("status"), F.col("n_faces").cast("int").alias("bytes"))
+    old = p.where(_FIRST).select("attachment_id", "status", "bytes")
+    new = p.where(_AGAIN).select("attachment_id", F.lit("again").alias("status"), F.col("n_faces").cast("int").alias("bytes"))
     return merge.upsert(old, new, ["attachment_id"])
 
 
-@query("""WITH old AS (SELECT attachment_id, status FROM photo_analysis WHERE attachment_id % 3 <> 0), new AS (SELECT attachment_id, 'retried' AS status FROM photo_analysis WHERE attachment_id % 2 = 0)
+@query("""WITH old AS (SELECT attachment_id, status FROM photo_analysis WHERE status <> 'unreadable'), new AS (SELECT attachment_id, 'retried' AS status FROM photo_analysis WHERE status <> 'ok' OR ocr_text IS NULL)
     SELECT coalesce(o.attachment_id, n.attachment_id) AS attachment_id, CASE WHEN o.attachment_id IS NULL THEN n.status WHEN n.attachment_id IS NOT NULL AND o.status = 'net_error' THEN n.status ELSE o.status END AS status FROM old o FULL JOIN new n USING (attachment_id)""")
 def conditional_upsert(s, d):
     p = T(s, d, "photo_analysis")
-    old, new = p.where("attachment_id % 3 <> 0").select("attachment_id", "status"), p.where(_HALF).select("attachment_id", F.lit("retried").alias("status"))
+    old, new = p.where(_FIRST).select("attachment_id", "status"), p.where(_AGAIN).select("attachment_id", F.lit("retried").alias("status"))
     return merge.upsert(old, new, ["attachment_id"], when=F.col("old.status") == "net_error")
 
 
-@query("""WITH old AS (SELECT id, att_type FROM attachments WHERE id % 3 <> 0) SELECT id, att_type FROM old UNION ALL SELECT id, upper(att_type) FROM attachments a WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.id = a.id)""")
+@query("""WITH old AS (SELECT id, att_type FROM attachments WHERE download_ok IS NOT NULL) SELECT id, att_type FROM old UNION ALL SELECT id, upper(att_type) FROM attachments a WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.id = a.id)""")
 def insert_ignore(s, d):
     a = T(s, d, "attachments")
-    return merge.insert_ignore(a.where("id % 3 <> 0").select("id", "att_type"), a.select("id", F.upper("att_type").alias("att_type")), ["id"])
+    return merge.insert_ignore(a.where("download_ok is not null").select("id", "att_type"), a.select("id", F.upper("att_type").alias("att_type")), ["id"])
 
 
-@query("""WITH fresh AS (SELECT DISTINCT peer_id, msg_from, msg_to FROM chunks WHERE id % 4 <> 0 AND source = 'messages') SELECT id, source FROM chunks c WHERE source <> 'messages' OR EXISTS (SELECT 1 FROM fresh f WHERE f.peer_id = c.peer_id AND f.msg_from = c.msg_from AND f.msg_to = c.msg_to)""")
+@query("""WITH fresh AS (SELECT DISTINCT peer_id, msg_from, msg_to FROM chunks JOIN dialogs USING (peer_id) WHERE own_share >= 0.2::FLOAT AND source = 'messages') SELECT id, source FROM chunks c WHERE source <> 'messages' OR EXISTS (SELECT 1 FROM fresh f WHERE f.peer_id = c.peer_id AND f.msg_from = c.msg_from AND f.msg_to = c.msg_to)""")
 def stale_keys(s, d):
     c = T(s, d, "chunks").select("id", "peer_id", "msg_from", "msg_to", "source")
-    return merge.delete_stale(c, c.where("id % 4 <> 0 and source = 'messages'"), ["peer_id", "msg_from", "msg_to"], F.col("source") == "messages").select("id", "source")
+    fresh = c.join(T(s, d, "dialogs").where(F.col("own_share") >= F.lit(0.2).cast("float")).select("peer_id"), "peer_id")
+    return merge.delete_stale(c, fresh.where("source = 'messages'"), ["peer_id", "msg_from", "msg_to"], F.col("source") == "messages").select("id", "source")
 
 
-@query("""SELECT peer_id, coalesce(CASE WHEN peer_id % 2 = 0 THEN 'Имя' END, meta ->> '$.name_manual', name) AS name FROM dialogs""")
+@query("""SELECT peer_id, coalesce(CASE WHEN useless OR kind = 'user' THEN 'Имя' END, meta ->> '$.name_manual', name) AS name FROM dialogs""")
 def dialog_names(s, d):
     """Upsert of dialog names where a manual name in the old row's meta survives, then a merge of keys into meta."""
-    dl = T(s, d, "dialogs").select("peer_id", "name", F.coalesce("meta", F.lit("{}")).alias("meta"))
+    dl = T(s, d, "dialogs").select("peer_id", "name", "kind", "useless", F.coalesce("meta", F.lit("{}")).alias("meta"))
     new = dl.select("peer_id", "name")
     up = merge.upsert(dl, new, ["peer_id"], expr={"name": F.coalesce(F.get_json_object("old.meta", "$.name_manual"), F.col("new.name"))})
-    patched = up.withColumn("meta", F.when(F.col("peer_id") % 2 == 0, merge.merge_meta(F.col("meta"), {"name_manual": "Имя"})).otherwise(F.col("meta")))
+    patched = up.withColumn("meta", F.when(F.coalesce(F.col("useless"), F.lit(False)) | (F.col("kind") == "user"), merge.merge_meta(F.col("meta"), {"name_manual": "Имя"})).otherwise(F.col("meta")))
     return patched.select("peer_id", F.coalesce(F.get_json_object("meta", "$.name_manual"), "name").alias("name"))
 
 
@@ -367,21 +369,22 @@ def queue_pending_having(s, d):
     return analytics.pending_voice(*(T(s, d, t) for t in ("dialogs", "messages", "attachments", "voice_transcripts"))).select("peer_id", "kind", "useless", "name", "pending")
 
 
-@query("""WITH p AS (SELECT d.peer_id, d.kind, d.useless, d.name, count(*) AS pending FROM dialogs d JOIN messages m ON m.peer_id = d.peer_id JOIN attachments a ON a.message_id = m.id AND a.kind = 'voice'
-    WHERE NOT EXISTS (SELECT 1 FROM voice_transcripts v WHERE v.attachment_id = a.id) GROUP BY 1, 2, 3, 4)
-    SELECT row_number() OVER (ORDER BY CASE WHEN peer_id = 2000000007 THEN 1 ELSE 1073741824 END, pending DESC, peer_id) AS position, peer_id, name, pending, CASE WHEN peer_id % 5 = 0 THEN 'done' ELSE 'pending' END AS status
+@query("""WITH p AS (SELECT d.peer_id, d.kind, d.useless, d.name, d.own_share, count(*) AS pending FROM dialogs d JOIN messages m ON m.peer_id = d.peer_id JOIN attachments a ON a.message_id = m.id AND a.kind = 'voice'
+    WHERE NOT EXISTS (SELECT 1 FROM voice_transcripts v WHERE v.attachment_id = a.id) GROUP BY 1, 2, 3, 4, 5)
+    SELECT row_number() OVER (ORDER BY CASE WHEN peer_id = 2000000007 THEN 1 ELSE 1073741824 END, pending DESC, peer_id) AS position, peer_id, name, pending, CASE WHEN own_share > 0.4::FLOAT THEN 'done' ELSE 'pending' END AS status
     FROM p WHERE peer_id = 2000000007 OR (NOT coalesce(useless, false) AND kind NOT IN ('community', 'chat'))""")
 def queue_build(s, d):
     pend = analytics.pending_voice(*(T(s, d, t) for t in ("dialogs", "messages", "attachments", "voice_transcripts")))
-    old = pend.select("peer_id", F.when(F.col("peer_id") % 5 == 0, "done").otherwise("running").alias("status"))
+    old = pend.select("peer_id", F.when(F.col("own_share") > F.lit(0.4).cast("float"), "done").otherwise("running").alias("status"))
     return analytics.build_queue(pend, old, first=[2000000007], wanted_chats=[2000000007])
 
 
-@query("""WITH years AS (SELECT DISTINCT peer_id, year(make_timestamp(epoch_us(sent_at))) AS y FROM messages WHERE sent_at IS NOT NULL), periods AS (SELECT peer_id, y AS year_from, 'с ' || y AS description FROM years WHERE y % 2 = 0)
+@query("""WITH years AS (SELECT DISTINCT peer_id, year(make_timestamp(epoch_us(sent_at))) AS y FROM messages WHERE sent_at IS NOT NULL), periods AS (SELECT peer_id, y AS year_from, 'с ' || y AS description FROM (SELECT DISTINCT peer_id, year(make_timestamp(epoch_us(sent_at))) AS y FROM messages WHERE sent_at IS NOT NULL AND is_own))
     SELECT y.peer_id, y.y, coalesce((SELECT arg_max(description, year_from) FROM periods p WHERE p.peer_id = y.peer_id AND p.year_from <= y.y), (SELECT arg_min(description, year_from) FROM periods p WHERE p.peer_id = y.peer_id)) AS description FROM years y""")
 def asof_period(s, d):
     years = T(s, d, "messages").where("sent_at is not null").select("peer_id", F.year("sent_at").cast("long").alias("y")).distinct()
-    periods = years.where("y % 2 = 0").select("peer_id", F.col("y").alias("year_from"), F.concat(F.lit("с "), F.col("y").cast("string")).alias("description"))
+    spoke = T(s, d, "messages").where("sent_at is not null and is_own").select("peer_id", F.year("sent_at").cast("long").alias("y")).distinct()
+    periods = spoke.select("peer_id", F.col("y").alias("year_from"), F.concat(F.lit("с "), F.col("y").cast("string")).alias("description"))
     return joins.asof_latest(years, periods, "peer_id", "y", "year_from", ["description"])
 
 
@@ -547,7 +550,7 @@ def neighbor_snippets(s, d):
 
 # ---- chunks and export
 def _lines(s, d):
-    return chunking.message_lines(*(T(s, d, t) for t in ("messages", "attachments", "voice_transcripts", "dialogs")))
+    return chunking.message_lines(*(T(s, d, t) for t in ("messages", "attachments", "voice_transcripts")), chunking.select_dialogs(T(s, d, "dialogs")))
 
 
 @query()
@@ -584,8 +587,7 @@ def collapse_repeats_text(s, d):
 
 @query()
 def split_long_lines(s, d):
-    split = F.udf(chunking.split_long, "array<string>")
-    m = T(s, d, "messages").where(F.length("text") > chunking.HARD_MAX).select("id", F.posexplode(split(F.concat(F.lit("Я (10:00): "), "text"))).alias("part", "piece"))
+    m = T(s, d, "messages").where(F.length("text") > chunking.HARD_MAX).select("id", F.posexplode(chunking.split_lines(F.concat(F.lit("Я (10:00): "), "text"))).alias("part", "piece"))
     return m.select("id", "part", F.length("piece").alias("n"))
 
 

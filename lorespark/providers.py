@@ -23,6 +23,30 @@ class Scorer(Protocol):
     def scores(self, query: str, docs: Sequence[str]) -> list[float]: ...
 
 
+class Transcriber(Protocol):
+    def transcribe(self, audio: bytes, prompt: str) -> dict: ...  # text, duration_s
+
+
+class ImageAnalyzer(Protocol):
+    def analyse(self, image: bytes) -> dict: ...  # lines [(text, confidence)], labels [{id, conf}], n_faces
+
+
+class SilentTranscriber:
+    """No text, the length that the audio states: keeps the pipeline whole where there is no recogniser."""
+
+    def transcribe(self, audio: bytes, prompt: str) -> dict:
+        at = audio.rfind(b"OggS")
+        seconds = int.from_bytes(audio[at + 6: at + 14], "little", signed=True) / 48000 if at >= 0 and at + 14 <= len(audio) else 0.0
+        return {"text": "", "duration_s": seconds}
+
+
+class PlainAnalyzer:
+    """Takes the bytes for text, one line each; an image that is no text is unreadable."""
+
+    def analyse(self, image: bytes) -> dict:
+        return {"lines": [(x, 1.0) for x in image.decode("utf-8").splitlines() if x], "labels": [], "n_faces": 0}
+
+
 class HashEmbedder:
     """Hashed words, L2-normalised."""
 

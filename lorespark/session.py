@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,12 +58,28 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
+    """A new path in the shared folder, removed when the driver's Python or the surrounding ``scratch`` ends."""
     path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    _PATHS.append(path)
     return path
 
 
+_PATHS: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end, for drivers that live long; results have to be written or collected before."""
+    before = set(_PATHS)
+    try:
+        yield
+    finally:
+        for path in [p for p in _PATHS if p not in before]:
+            _delete(spark, path)
+            _PATHS.remove(path)
+
+
 class Stage:
     """Intermediate tables of one operator run, written to the shared folder.
 

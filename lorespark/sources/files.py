@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lorespark.functions.text import trim_all, vocab_key
+from lorespark.functions.text import media_file, trim_all, vocab_key
 from lorespark.operators.merge import first_seen
 
 MANIFEST = "kind string, url string, peer_id bigint, msg_id bigint, att_type string, file string"
@@ -78,6 +78,36 @@ def new_terms(found: DataFrame, known: DataFrame) -> DataFrame:
     return f.where(~F.coalesce(F.col("__text").contains(F.col("key")), F.lit(False))).drop("__text").dropDuplicates(["peer_id", "key"])
 
 
+# Fixed value: the heading under which collected terms stand.
+SECTION = "## Собранные термины"
+
+
+def appended(vocab: DataFrame, terms: DataFrame, batch: str, day: str) -> DataFrame:
+    """(peer_id, value): the vocabularies with new terms (peer_id, term, gloss) under their section; a term that the text has already is left out."""
+    line = F.concat(F.lit("- "), "term", F.lit(" — "), F.coalesce("gloss", F.lit("")), F.lit(f" *(встретилось: {batch}, {day})*"))
+    fresh = (terms.withColumn("key", vocab_key("term")).where("length(key) >= 2").join(vocab.select("peer_id", F.lower("value").alias("__low")), "peer_id")
+             .where(~F.col("__low").contains(F.col("key"))).dropDuplicates(["peer_id", "key"]).groupBy("peer_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("__new")))  # the terms of one batch
+    base = F.when(F.col("value").contains(SECTION), F.rtrim("value")).otherwise(F.concat(F.rtrim("value"), F.lit("\n\n" + SECTION)))
+    return vocab.join(fresh, "peer_id", "left").select("peer_id", F.when(F.col("__new").isNull(), F.col("value")).otherwise(F.concat(base, F.lit("\n"), F.col("__new"), F.lit("\n"))).alias("value"))
+
+
+def with_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    """Manifest rows (url) whose file, named after the address, is in the listing (path)."""
+    have = listing.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("__file")).distinct()
+    return manifest.withColumn("__file", media_file("url")).join(have, "__file", "left_semi").drop("__file")
+
+
+def to_reset(meta: DataFrame, settings: str | None = None, bad: DataFrame | None = None) -> DataFrame:
+    """(name) of transcripts to be made anew: of other settings than the current, or found bad (name)."""
+    old = meta.where(~F.coalesce(F.col("settings") == settings, F.lit(False))).select("name") if settings is not None else meta.select("name").limit(0)
+    return (old.unionByName(bad.select("name")) if bad is not None else old).distinct()
+
+
+def reset(meta: DataFrame, names: DataFrame) -> DataFrame:
+    """What stays of the transcripts, to be written to a new path."""
+    return meta.join(names.select("name").distinct(), "name", "left_anti")
+
+
 @F.pandas_udf(DoubleType())
 def ogg_duration(tail: pd.Series) -> pd.Series:
     """Seconds: the granule position of the last page, at 48 kHz; 0 without one."""
@@ -94,3 +124,16 @@ def columns_differ(df: DataFrame, ddl_columns: list[str]) -> tuple[list[str], li
     """(missing, unexpected) columns of a table against its schema."""
     have = set(df.columns)
     return [c for c in ddl_columns if c not in have], sorted(have - set(ddl_columns))
+
+
+def schema_differs(df: DataFrame, ddl: str, keys: list[str] | None = None) -> list[str]:
+    """What is wrong with a table against its DDL: missing and unexpected columns, other types, keys that are null or repeat."""
+    from pyspark.sql.types import StructType
+    want, have = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(ddl)}, {f.name: f.dataType.simpleString() for f in df.schema}
+    out = [f"missing {c}" for c in want if c not in have] + [f"unexpected {c}" for c in have if c not in want]
+    out += [f"{c} is {have[c]}, not {want[c]}" for c in want if c in have and have[c] != want[c]]
+    if keys and all(k in have for k in keys):
+        null = df.where(" or ".join(f"`{k}` is null" for k in keys)).limit(1).count()
+        twice = df.groupBy(*keys).count().where("count > 1").limit(1).count()
+        out += ["null key"] * bool(null) + ["repeated key"] * bool(twice)
+    return out

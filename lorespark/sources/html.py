@@ -62,3 +62,10 @@ def parse_attachments(pages: DataFrame) -> DataFrame:
 def media_manifest(attachments: DataFrame) -> DataFrame:
     """Voice and photo addresses, each at its first message."""
     return first_seen(attachments.where("kind in ('voice', 'photo') and url <> ''"), ["url"], [F.asc("peer_id"), F.asc("vk_msg_id")])
+
+
+def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, pos, href, text) of the links of any page, entities decoded, tags inside the text dropped."""
+    rx = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(rx), 1).alias("h"), F.regexp_extract_all(html, F.lit(rx), 2).alias("t"))
+    return pages.select(key, F.posexplode(both).alias("pos", "x")).select(key, "pos", unescape(F.col("x.h")).alias("href"), clean_text(F.col("x.t"), keep_lines=False).alias("text"))
