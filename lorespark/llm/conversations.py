@@ -7,7 +7,9 @@ that spread the state of a hot peer over many keys; the pieces of a conversation
 border are stitched together by pointer doubling afterwards.
 
 A bounded run reads what is there in one batch, so that no row is late, and ends with a sentinel row far
-in the future that drives the watermark past every conversation.
+in the future that drives the watermark past every conversation.  A run in several batches (``files`` at a
+time) takes late rows into their conversations as long as the watermark has not passed them; rows later
+than that are left out and counted.
 """
 
 from __future__ import annotations
@@ -35,13 +37,16 @@ def is_broken() -> Column:
     return blank | F.coalesce((F.col("sender") == OWN_SENDER) != F.col("is_own"), F.lit(True))
 
 
-def message_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A stream of a table's folder, or of a table that is one file."""
+def message_stream(spark: SparkSession, path: str, schema: StructType, files: int | None = None) -> DataFrame:
+    """A stream of a table's folder, or of a table that is one file; at most ``files`` files a batch."""
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
-        return spark.readStream.schema(schema).parquet(path)
+        return reader.parquet(path)
     folder, name = os.path.split(path)
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def pieces(messages: DataFrame, gap_seconds: int, era_seconds: int, watermark: str) -> DataFrame:
@@ -57,25 +62,33 @@ def pieces(messages: DataFrame, gap_seconds: int, era_seconds: int, watermark: s
             .drop("w"))
 
 
-def run_stream(spark: SparkSession, source: DataFrame, gap_seconds: int = GAP_SECONDS, era_seconds: int = ERA_SECONDS, watermark: str = "1 day") -> DataFrame:
-    """Drain a stream of (peer_id, vk_msg_id, sent_at, sender, is_own, text) and return its closed pieces."""
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings and catalog, whose settings may be changed without others seeing it."""
+    return SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+
+
+def run_stream(spark: SparkSession, source: DataFrame, gap_seconds: int = GAP_SECONDS, era_seconds: int = ERA_SECONDS, watermark: str = "1 day", several: bool = False) -> tuple[str, int]:
+    """Drain a stream of (peer_id, vk_msg_id, sent_at, sender, is_own, text): the folder of its closed pieces, and the number of rows that came too late.
+
+    ``spark`` is a session of the stream's own.  ``several``: the source comes in several batches; the sentinel
+    that closes all comes after them, in a run of its own.
+    """
     base = scratch_path(spark, "conversations")
     spark.createDataFrame([(SENTINEL,)], "at string").select(F.to_timestamp("at").alias("sent_at")).coalesce(1).write.parquet(f"{base}/sentinel")
-    sentinel = spark.readStream.schema("sent_at timestamp").parquet(f"{base}/sentinel")
-    rows = source.where("peer_id is not null and vk_msg_id is not null and sent_at is not null").unionByName(sentinel, allowMissingColumns=True)
-    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-            "spark.sql.streaming.minBatchesToRetain": "2"}
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
+    rows = source.where("peer_id is not null and vk_msg_id is not null and sent_at is not null")
+    for k, v in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true", "spark.sql.streaming.minBatchesToRetain": "2"}.items():
         spark.conf.set(k, v)
-    try:
-        query = (pieces(rows, gap_seconds, era_seconds, watermark).writeStream.format("parquet").outputMode("append")
+    late, ends = 0, f"{base}/ends"
+    spark.createDataFrame([], "sent_at timestamp").coalesce(1).write.parquet(ends)
+    for last in (False, True) if several else (True,):  # the second run finds the sentinel only
+        if last:
+            spark.read.schema("sent_at timestamp").parquet(f"{base}/sentinel").write.mode("append").parquet(ends)
+        sentinel = spark.readStream.schema("sent_at timestamp").parquet(ends)
+        query = (pieces(rows.unionByName(sentinel, allowMissingColumns=True), gap_seconds, era_seconds, watermark).writeStream.format("parquet").outputMode("append")
                  .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.parquet(f"{base}/out").where("peer_id is not null")
+        late += sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+    return f"{base}/out", late
 
 
 def stitch(parts: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
@@ -100,8 +113,9 @@ def conversations(spark: SparkSession, path: str, gap_seconds: int = GAP_SECONDS
     """
     table = spark.read.parquet(path)
     cols = ["peer_id", "vk_msg_id", "sent_at", "sender", "is_own", "text"]
-    source = message_stream(spark, path, table.schema).select(*cols)
-    whole = Stage(spark, "conversations-whole").cut(stitch(run_stream(spark, source, gap_seconds), gap_seconds))
+    own = own_session(spark)
+    closed, _ = run_stream(own, message_stream(own, path, table.schema).select(*cols), gap_seconds)  # one batch: none is late
+    whole = Stage(spark, "conversations-whole").cut(stitch(spark.read.parquet(closed).where("peer_id is not null"), gap_seconds))
     lost = table.where("sent_at is null and peer_id is not null and vk_msg_id is not null").select("peer_id", "vk_msg_id")
     hit = points_in(lost.distinct(), whole.select("peer_id", "root", "vk_min", "vk_max"), ["peer_id"], "vk_msg_id", "vk_min", "vk_max").select("peer_id", "root").distinct().withColumn("gap", F.lit(True))
     return whole.join(hit, ["peer_id", "root"], "left").select(

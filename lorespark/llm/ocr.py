@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.session import Stage
@@ -39,7 +39,7 @@ CONFUSED = ["ес", "ин", "лп", "мш", "пц", "шщ", "зэ", "бв", "г
 CLASSES = ["ео0oecсё", "инhun", "лпц1lд", "мшщт7tm", "з3э", "в8b", "ч4", "б6", "рp", "уy", "хx", "кk", "аa", "ьъы"]
 _CLASS = {ord(c): g[0] for g in CLASSES for c in g}
 HYPHENS = "-­¬‐‑"
-_CUT = re.compile(rf"([^\W\d_]+|[^\W_]*[^\W\d_][^\W_]*)([{HYPHENS}])[ \t]*\r?\n[ \t]*([^\W_]+)")
+_CUT = re.compile(rf"(?<=[^\W_])[{HYPHENS}][ \t]*\r?\n[ \t]*([^\W_]+)")
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _NUMBER = re.compile(r"(?:c|с)?(?:[тtm7][рp](?:\.|[^\W\d_]*)?)?\s*[-–—\[(]?\s*\d{1,4}\s*(?:(?:/|из)\s*\d{1,4})?\s*[-–—\])]?", re.I)
 _BESIDE = re.compile(r"\d{1,4}(?:\s{2,}|\t+)(\S.*[^\W\d_].*)|(\S.*[^\W\d_].*?)(?:\s{2,}|\t+)\d{1,4}")
@@ -52,15 +52,37 @@ def tidy(word: str) -> str:
     return word.lower().replace("ё", "е")
 
 
-def unmix(word: str) -> str:
-    """A Cyrillic word with foreign signs folded to Cyrillic."""
-    return "".join(LOOKALIKES.get(c, c) for c in word.replace("і", "i").replace("io", "ю").replace("iо", "ю").replace("ьi", "ы").replace("bi", "ы"))
+def cuts(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, first part, second part) of words cut at a line end; of a word cut twice the first cut."""
+    out: list[tuple[int, int, str, str]] = []
+    for m in _CUT.finditer(text):
+        i = m.start()
+        while i and text[i - 1].isalnum():
+            i -= 1
+        if (not out or i >= out[-1][1]) and any(map(str.isalpha, text[i: m.start()])):
+            out.append((i, m.end(), text[i: m.start()], m[1]))
+    return out
+
+
+def uncut(text: str, found: list[tuple[int, int, str, str]], join) -> str:
+    """The text with each cut word replaced by join(first part, second part), or left as it is for None."""
+    out, at = [], 0
+    for a, b, x, y in found:
+        out += [text[at:a], text[a:b] if (w := join(x, y)) is None else w]
+        at = b
+    return "".join(out) + text[at:]
 
 
-def is_mixed(word: str) -> bool:
-    cyr = sum("а" <= c <= "я" for c in word)
-    odd = sum(c in LOOKALIKES or c in "іi" for c in word)
-    return cyr >= 1 and odd >= 1 and cyr + odd == len(word) and len(word) >= 3 and cyr >= odd
+def mixed_and_plain(word: Column) -> tuple[Column, Column]:
+    """Whether a Cyrillic word has foreign signs that stand for letters, and the word with them folded; compounds are judged as a whole."""
+    bare = F.replace(word, F.lit("-"), F.lit(""))
+    cyr = F.length(F.regexp_replace(bare, "[^а-я]", ""))
+    odd = F.length(F.regexp_replace(bare, "[^" + "".join(LOOKALIKES) + "іi]", ""))
+    mixed = (cyr >= 1) & (odd >= 1) & (cyr + odd == F.length(bare)) & (F.length(bare) >= 3) & (cyr >= odd)
+    plain = F.translate(word, "і", "i")
+    for a, b in (("i[oо]", "ю"), ("[ьb]i", "ы")):
+        plain = F.regexp_replace(plain, a, b)
+    return mixed, F.when(mixed, F.translate(plain, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))).otherwise(word)
 
 
 def line_key(line: str) -> str:
@@ -95,12 +117,13 @@ def number_lines(lines: list[str]) -> list[int]:
 def take_apart(text: str) -> tuple[list[str], list[tuple[str, str, str]], list[str], bool, bool, str]:
     """(words, hyphenated (joined, compound, tail), line keys, page of running text, has a page number, words in order)."""
     cut = []
-    for m in _CUT.finditer(text):
-        a, b = tidy(m[1]), tidy(m[3])
-        if m[3][0].isupper() and m[1][-1].islower() or not any(c.isalpha() for c in b):
+    found = cuts(text)
+    for _, _, x, y in found:
+        a, b = tidy(x), tidy(y)
+        if y[0].isupper() and x[-1].islower() or not any(c.isalpha() for c in b):
             continue
         cut.append((a + b, f"{a}-{b}", b))
-    joined = _CUT.sub(lambda m: m[1] + m[3], text)
+    joined = uncut(text, found, lambda x, y: x + y)
     run = list(map(tidy, _WORD.findall(joined)))
     words = sorted({w for w in run if any(c.isalpha() for c in w)} | {p for w in run if "-" in w for p in w.split("-") if len(p) > 1})
     lines = re.split(r"\r?\n", text)
@@ -129,30 +152,35 @@ def parts(photos: DataFrame) -> DataFrame:
     return Stage(photos.sparkSession, "ocr").cut(src.where("attachment_id is not null and trim(text) <> ''").mapInArrow(_parse, _PARTS))
 
 
-def corrections(taken: DataFrame) -> DataFrame:
+def vocabulary(taken: DataFrame) -> DataFrame:
+    """(word, n, mixed, plain): the words of good photos with the number of distinct texts that have them, written once; copies of a text are no further evidence."""
+    once = taken.where("good").dropDuplicates(["h"])
+    n = once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    mixed, plain = mixed_and_plain(F.col("word"))
+    return Stage(taken.sparkSession, "ocr-vocabulary").cut(n.withColumn("mixed", mixed).withColumn("plain", plain))
+
+
+def corrections(taken: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """(word, correction, n, n_correct): misread words with their most frequent confusable variant."""
     spark = taken.sparkSession
     stage = Stage(spark, "ocr-words")
-    mixed, fold = F.udf(is_mixed, "boolean"), F.udf(unmix, "string")
-    once = taken.where("good").dropDuplicates(["h"])  # copies of a text are no further evidence
-    vocab = stage.cut(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    vocab = stage.cut(vocab.withColumn("mixed", mixed("word")).withColumn("plain", F.when(F.col("mixed"), fold("word")).otherwise(F.col("word"))))
+    vocab = vocabulary(taken) if vocab is None else vocab
+    once = taken.where("good").dropDuplicates(["h"])
     clean = vocab.where(~F.col("mixed")).select(F.col("word").alias("plain"), F.col("n").alias("n_correct"))
     by_sign = (vocab.where("mixed").join(clean, "plain", "left").where("n_correct is not null or (length(word) >= 5 and not word rlike '^[0-9]')")
                .select("word", F.col("plain").alias("correction"), "n", F.coalesce("n_correct", F.lit(0)).alias("n_correct")))
-    clean.where("plain rlike '^[а-я]{2,}$'").createOrReplaceTempView("__ocr_vocab")
     pairs = {(a, b) for a, b in ((p[0], p[1]) for p in CONFUSED)} | {(b, a) for a, b in ((p[0], p[1]) for p in CONFUSED)}
-    spark.createDataFrame(sorted(pairs), "a string, b string").createOrReplaceTempView("__ocr_confused")  # a fixed list
+    confused = spark.createDataFrame(sorted(pairs), "a string, b string")  # a fixed list
     met = stage.cut(spark.sql(f"""
         WITH hashed AS (
-          SELECT plain, n_correct AS n, aggregate(split(plain, ''), 0L, (s, c) -> s + pmod(xxhash64(c), 1099511627776L)) AS anagram FROM __ocr_vocab),
+          SELECT plain, n_correct AS n, aggregate(split(plain, ''), 0L, (s, c) -> s + pmod(xxhash64(c), 1099511627776L)) AS anagram FROM {{vocab}}),
         reduced AS (
           SELECT plain, n, length(plain) AS len, c AS letter, anagram - pmod(xxhash64(c), 1099511627776L) AS key
           FROM hashed LATERAL VIEW explode(array_distinct(split(plain, ''))) AS c)
         SELECT DISTINCT r.plain AS word, r.n, f.plain AS correction, f.n AS n_correct
           FROM reduced r JOIN reduced f ON r.key = f.key AND r.len = f.len AND f.n >= r.n * IF(r.len <= 3, {FAR}, {NEAR})
-          JOIN __ocr_confused k ON k.a = f.letter AND k.b = r.letter
-          WHERE levenshtein(r.plain, f.plain) = 1"""))
+          JOIN {{confused}} k ON k.a = f.letter AND k.b = r.letter
+          WHERE levenshtein(r.plain, f.plain) = 1""", vocab=clean.where("plain rlike '^[а-я]{2,}$'"), confused=confused))
     far = F.col("n_correct") >= FAR * F.col("n")
     by_letter = (met.where(far).unionByName(_at_home(once, met.where(~far))).groupBy("word")
                  .agg(F.max_by("correction", F.struct("n_correct", "correction")).alias("correction"), F.first("n").alias("n"), F.max("n_correct").alias("n_correct")))
@@ -181,14 +209,14 @@ def noise(photos: DataFrame) -> DataFrame:
     photo give its kinds once; a photo without message has no running header.
     """
     taken = parts(photos)
-    fixes = corrections(taken)
+    vocab = vocabulary(taken)
+    fixes = corrections(taken, vocab)
     good = taken.where("good")
     words = good.select("attachment_id", F.explode("words").alias("word"))
     misread = words.join(fixes.select("word"), "word", "left_semi").select("attachment_id", F.lit("misrecognition").alias("kind"))
-    counts = taken.where("good").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     cut = good.select("attachment_id", F.explode("cuts").alias("c")).select("attachment_id", "c.joined", "c.compound")
-    cut = (cut.join(counts.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left")
-           .join(counts.select(F.col("word").alias("compound"), F.col("n").alias("nc")), "compound", "left"))
+    cut = (cut.join(vocab.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left")
+           .join(vocab.select(F.col("word").alias("compound"), F.col("n").alias("nc")), "compound", "left"))
     hyphen = cut.where("coalesce(nc, 0) < coalesce(nj, 1)").select("attachment_id", F.lit("hyphenation").alias("kind"))
     number = good.where("numbered").select("attachment_id", F.lit("page_number").alias("kind"))
     return misread.unionByName(hyphen).unionByName(number).unionByName(headers(taken).select("attachment_id", F.lit("running_header").alias("kind"))).distinct()
@@ -207,7 +235,8 @@ def repair(text: str, fixes: dict[str, str], header_keys: set[str], keep_compoun
     page = is_page(lines)
     drop = set(number_lines(lines)) if page else set()
     kept = [x for i, x in enumerate(lines) if i not in drop and not (header_keys and line_key(x) in header_keys)]
-    body = _CUT.sub(lambda m: m[0] if m[3][0].isupper() and m[1][-1].islower() else f"{m[1]}-{m[3]}" if tidy(f"{m[1]}-{m[3]}") in keep_compounds else m[1] + m[3], "\n".join(kept))
+    body = "\n".join(kept)
+    body = uncut(body, cuts(body), lambda x, y: None if y[0].isupper() and x[-1].islower() else f"{x}-{y}" if tidy(f"{x}-{y}") in keep_compounds else x + y)
 
     def fix(m: re.Match) -> str:
         w = m.group()
@@ -224,14 +253,14 @@ def repair(text: str, fixes: dict[str, str], header_keys: set[str], keep_compoun
 def repaired(photos: DataFrame) -> DataFrame:
     """(attachment_id, text) of the photos that are judged, repaired."""
     taken = parts(photos)
-    fixes = corrections(taken)
+    vocab = vocabulary(taken)
+    fixes = corrections(taken, vocab)
     own = (taken.where("good").select("attachment_id", F.explode("words").alias("word")).join(fixes.select("word", "correction"), "word")
            .groupBy("attachment_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("fixes")))  # at most a text's words
     head = headers(taken).groupBy("attachment_id").agg(F.collect_set("key").alias("heads"))
-    counts = taken.where("good").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     cut = taken.where("good").select("attachment_id", F.explode("cuts").alias("c")).select("attachment_id", "c.joined", "c.compound")
-    whole = (cut.join(counts.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left")
-             .join(counts.select(F.col("word").alias("compound"), F.col("n").alias("nc")), "compound", "left")
+    whole = (cut.join(vocab.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left")
+             .join(vocab.select(F.col("word").alias("compound"), F.col("n").alias("nc")), "compound", "left")
              .where("coalesce(nc, 0) >= coalesce(nj, 1)").groupBy("attachment_id").agg(F.collect_set("compound").alias("compounds")))
     texts = photos.where(f"status = 'ok' and ocr_conf >= float({MIN_CONF}) and trim(ocr_text) <> ''").select("attachment_id", "ocr_text").dropDuplicates(["attachment_id"])
     all_ = texts.join(own, "attachment_id", "left").join(head, "attachment_id", "left").join(whole, "attachment_id", "left")

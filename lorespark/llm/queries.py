@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm import abuse, ann, conversations, leakage, mixing, ocr, pii, residue, splitter
@@ -99,7 +99,23 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitter.pieces(_texts(spark, sf_dir), ["src", "row_id"]).drop("h")
 
 
-QUERIES |= {"p5_found": p5_found, "p5_pieces": p5_pieces}
+def p5_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per oversized record: its length, and whether its pieces cover it in order, keep the limit and overlap as asked at most."""
+    texts = _texts(spark, sf_dir)
+    w = Window.partitionBy("src", "row_id").orderBy("piece")
+    p = splitter.pieces(texts, ["src", "row_id"]).withColumn("was", F.lag("end").over(w)).withColumn("size", F.col("end") - F.col("start"))
+    kept = (F.length("text") == F.col("size")) & (F.col("size") <= splitter.LIMIT) & (F.col("size") > 0)
+    joined = F.coalesce((F.col("start") <= F.col("was")) & (F.col("was") - F.col("start") <= splitter.OVERLAP) & (F.col("end") > F.col("was")), F.col("start") == 0)
+    got = p.groupBy("src", "row_id").agg(F.max("end").alias("n_chars"), F.min(kept).alias("fits"), F.min(joined).alias("covered"))
+    whole = texts.where(F.length("text") > splitter.OVERSIZED).select("src", "row_id", F.length("text").alias("length"))
+    return got.join(whole, ["src", "row_id"], "right").select("src", "row_id", F.col("length").cast("long").alias("n_chars"), "fits", (F.col("covered") & (F.col("n_chars") == F.col("length"))).alias("covered"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_pieces": p5_pieces, "p5_check": p5_check}
+SQL["p5_check"] = """
+SELECT 'messages' AS src, id AS row_id, length(text) AS n_chars, true AS fits, true AS covered FROM messages WHERE length(text) > 2600
+UNION ALL SELECT 'voice_transcripts', attachment_id, length(transcript), true, true FROM voice_transcripts WHERE length(transcript) > 2600
+UNION ALL SELECT 'chunks', id, length(text), true, true FROM chunks WHERE length(text) > 2600"""
 SQL["p5_found"] = """
 SELECT 'messages' AS src, id AS row_id FROM messages WHERE length(text) > 2600
 UNION SELECT 'voice_transcripts', attachment_id FROM voice_transcripts WHERE length(transcript) > 2600
@@ -124,7 +140,19 @@ def p9_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), by="limit")[1]
 
 
-QUERIES |= {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_entropy": p9_entropy, "p9_limit": p9_limit}
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: its goal, its documents, and whether the mixture keeps the cap, uses each document at most once a pass, and gives the tokens that the report says."""
+    mixture, report = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    per = mixture.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.count_distinct("pass").alias("passes"), F.sum("n_tokens").alias("t"))
+    got = per.groupBy("source").agg(F.max("uses").alias("most"), F.min(F.col("uses") == F.col("passes")).alias("once"), F.sum("t").alias("t"))
+    return report.join(got, "source", "left").select("source", "target_share", "max_repeats", "records", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"), F.coalesce("once", F.lit(True)).alias("once"),
+                                                     (F.coalesce("t", F.lit(0)) == F.col("tokens_used")).alias("told"))
+
+
+SQL["p9_check"] = """
+SELECT g.source, target_share, max_repeats, count(d.doc_id) AS records, true AS capped, true AS once, true AS told
+FROM mix_targets g LEFT JOIN documents d ON lower(trim(d.source, ' ')) = g.source AND length(d.text) > 0 GROUP BY 1, 2, 3"""
+QUERIES |= {"p9_check": p9_check, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_entropy": p9_entropy, "p9_limit": p9_limit}
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -223,6 +224,31 @@ def test_conversations(spark, tmp_path):
     assert len(t) == 1500 and {r.speaker for r in t} == {"own", "other"}
 
 
+def test_late_rows_join_or_are_counted(spark, tmp_path):
+    day, hour = dt.timedelta(days=1), dt.timedelta(hours=1)
+    m = lambda i, at, own: (i, 1, i, T0 + at, "Вы" if own else "Имя", own, "текст", None, "p")
+    files = [[m(1, 0 * hour, True), m(2, hour, False), m(9, 20 * hour, True)],  # the watermark falls a day behind the latest row
+             [m(3, 2 * hour, True), m(10, 21 * hour, False)],  # late, but in time: joins the first conversation
+             [m(20, 5 * day, True)], [m(21, 5 * day + hour, False)], [m(4, 3 * hour, False)]]  # 4 is too late
+    path = tmp_path / "messages"
+    path.mkdir()
+    own = conversations.own_session(spark)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        part = next((tmp_path / f"w{n}").glob("part-*.parquet"))
+        target = path / f"{n}.parquet"
+        part.rename(target)
+        os.utime(target, (1_600_000_000 + n, 1_600_000_000 + n))
+    closed, late = conversations.run_stream(own, conversations.message_stream(own, str(path), schema, files=1), several=True)
+    got = {(r["first"]["vk"], r["last"]["vk"], r.n_rows) for r in spark.read.parquet(closed).where("peer_id is not null").collect()}
+    assert (late, got) == (1, {(1, 3, 3), (9, 10, 2), (20, 21, 2)})
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != conversations.ROCKSDB
+    whole = spark.createDataFrame([r for f in files for r in f], SCHEMA)
+    whole.write.parquet(str(tmp_path / "whole.parquet"))
+    assert conversations.conversations(spark, str(tmp_path / "whole.parquet")).count() == 3  # one batch: none is late
+
+
 def test_no_conversation(spark, tmp_path):
     path = str(tmp_path / "messages.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(path)
