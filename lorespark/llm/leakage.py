@@ -22,6 +22,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lorespark.session import Stage
+
 #: A document or item word and what is absent between its letters.
 WORD = re.compile(r"[^\W_]+")
 ABSENT = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
@@ -184,6 +186,20 @@ def batched(texts: list[str], chars: int = 200_000) -> Iterator[tuple[int, int]]
         yield lo, len(texts)
 
 
+def item_blocks(rows: Iterator) -> Iterator[list[tuple[int, str]]]:
+    """(id, passage) rows in blocks of about ``BLOCK_CHARS`` characters."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for i, p in rows:
+        if size + len(p or "") > BLOCK_CHARS and block:
+            yield block
+            block, size = [], 0
+        block.append((i, p or ""))
+        size += len(p or "")
+    if block:
+        yield block
+
+
 SCHEMA = "item_id long, doc_id long, chars long, edits long, words long"
 
 
@@ -191,22 +207,15 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """(item_id, doc_id, chars, edits, words): every pair that shares a region, with its longest region,
     that region's edits, and the longest run of common words.
 
-    Items are read to the driver in blocks of bounded text (the held-out set is a stated query set); each
-    block is compared with all documents.  Null or wordless texts share nothing; repeated rows of either
+    Items come to the driver in blocks of bounded text (the held-out set is a stated query set); each block is
+    compared with all documents and its result written before the next is read, so one block is held at a time.  Null or wordless texts share nothing; repeated rows of either
     side give the same pair once per row, so callers use distinct(); rows without id are left out.
     """
     spark = docs.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for i, p in items.select(item_id, passage).where(f"{item_id} is not null").toLocalIterator():
-        if size + len(p or "") > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, p or ""))
-        size += len(p or "")
+    stage = Stage(spark, "leaks")
     src = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").where("doc_id is not null and text is not null")
-    found = None
-    for block in blocks:
+    found = spark.createDataFrame([], SCHEMA)
+    for block in item_blocks(items.select(item_id, passage).where(f"{item_id} is not null").toLocalIterator()):
         shared = spark.sparkContext.broadcast(Index(block))  # bounded by BLOCK_CHARS
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -221,6 +230,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
                 rows = [(index.ids[k], ids[n], chars, -edits, longest_common_words(texts[n].split(), words[k])) for (n, k), (chars, edits) in by.items()]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["item_id", "doc_id", "chars", "edits", "words"]).astype("int64"), preserve_index=False)
 
-        part = src.mapInArrow(find, SCHEMA)
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(stage.cut(src.mapInArrow(find, SCHEMA)))
+        shared.destroy()
     return found

@@ -255,19 +255,22 @@ def repaired(photos: DataFrame) -> DataFrame:
     taken = parts(photos)
     vocab = vocabulary(taken)
     fixes = corrections(taken, vocab)
-    own = (taken.where("good").select("attachment_id", F.explode("words").alias("word")).join(fixes.select("word", "correction"), "word")
-           .groupBy("attachment_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("fixes")))  # at most a text's words
-    head = headers(taken).groupBy("attachment_id").agg(F.collect_set("key").alias("heads"))
+    own = taken.where("good").select("attachment_id", F.explode("words").alias("word")).join(fixes.select("word", "correction"), "word").select("attachment_id", F.lit("fix").alias("what"), "word", "correction")
+    head = headers(taken).select("attachment_id", F.lit("head").alias("what"), F.col("key").alias("word"), F.lit(None).cast("string").alias("correction"))
     cut = taken.where("good").select("attachment_id", F.explode("cuts").alias("c")).select("attachment_id", "c.joined", "c.compound")
     whole = (cut.join(vocab.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left")
              .join(vocab.select(F.col("word").alias("compound"), F.col("n").alias("nc")), "compound", "left")
-             .where("coalesce(nc, 0) >= coalesce(nj, 1)").groupBy("attachment_id").agg(F.collect_set("compound").alias("compounds")))
+             .where("coalesce(nc, 0) >= coalesce(nj, 1)").select("attachment_id", F.lit("compound").alias("what"), F.col("compound").alias("word"), F.lit(None).cast("string").alias("correction")))
+    small = own.unionByName(head).unionByName(whole).groupBy("attachment_id").agg(F.collect_set(F.struct("what", "word", "correction")).alias("edits"))  # at most a text's words and lines
     texts = photos.where(f"status = 'ok' and ocr_conf >= float({MIN_CONF}) and trim(ocr_text) <> ''").select("attachment_id", "ocr_text").dropDuplicates(["attachment_id"])
-    all_ = texts.join(own, "attachment_id", "left").join(head, "attachment_id", "left").join(whole, "attachment_id", "left")
+    all_ = texts.join(small, "attachment_id", "left")  # the one join that carries texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([repair(t, dict(f or []), set(h or ()), set(c or ())) for t, f, h, c in rows], pa.string())], ["attachment_id", "text"])
+            out = []
+            for t, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                of = {k: [(e["word"], e["correction"]) for e in edits or () if e["what"] == k] for k in ("fix", "head", "compound")}
+                out.append(repair(t, dict(of["fix"]), {w for w, _ in of["head"]}, {w for w, _ in of["compound"]}))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["attachment_id", "text"])
 
-    return all_.select("attachment_id", "ocr_text", "fixes", "heads", "compounds").mapInArrow(run, "attachment_id long, text string")
+    return all_.select("attachment_id", "ocr_text", "edits").mapInArrow(run, "attachment_id long, text string")
