@@ -72,7 +72,7 @@ TALK = [
     "лорем ипсум это такая рыба для макета препод объяснял", "в шаблоне договора забыли поставить имя в скобках пришлось переделывать",
     "сервер упал все ушли обедать обещали починить к вечеру", "субтитры отстают смотрели фильм без них половину не поняли",
     "раз раз тест микрофона меня слышно нет тогда начинаем", "подписался на канал про рыбалку и смотрю каждый вечер",
-    "написано страница не найдена а вчера всё было своими глазами видела", "в шаблоне письма надо имя в фигурных скобках поставить а она забывает каждый раз", "она подписалась на его канал и теперь каждый вечер смотрит видео про рыбалку",
+    "говорит что страница не найдена хотя утром всё открывалось", "вылезло что страница не найдена и он обиделся", "опять забыли вписать фамилию в скобки в письме", "сестра подписалась на чей-то канал и показывает мне видео",
     "спасибо что досмотрел со мной этот фильм до конца", "браузер у бабушки устарел я ей поставил новый", "в титрах увидел знакомую фамилию", "перевод дошёл спасибо",
     "мне пришло письмо что запись к врачу подтверждена", "the site says page not found but it worked yesterday", "he keeps losing the error log and we restart the server",
 ]
