@@ -85,6 +85,7 @@ SLOTS = re.compile(r"\[(?:имя|фио|фамилия|дата|время|те
 _STAMP = re.compile(r"\[\d{1,2}:\d{2}(?::\d{2})?\]")
 _LATIN = str.maketrans("aceopxyABCEHKMOPTXkmt", "асеорхуАВСЕНКМОРТХкмт")
 _LOOP = re.compile(r"(?<!\w)(\w+)(?:\W+\1(?!\w)){2,}")
+_ANY_LATIN = re.compile("[a-zA-Z]")
 _MIXED = re.compile(r"\w*[а-яё]\w*", re.I)
 
 BITS = 17
@@ -106,24 +107,30 @@ def fold(text: str) -> str:
 
     A word repeated more than twice counts twice: recognisers loop on words of speech, and a loop is no evidence of anything else.
     """
-    t = _MIXED.sub(lambda m: m.group().translate(_LATIN), _STAMP.sub(" ", text)).lower().replace("ё", "е")
+    t = _STAMP.sub(" ", text)
+    if _ANY_LATIN.search(t):
+        t = _MIXED.sub(lambda m: m.group().translate(_LATIN), t)
+    t = t.lower().replace("ё", "е")
     return re.sub(r"\d", "0", _LOOP.sub(r"\1 \1", " ".join(t.split())))
 
 
-def _hash64(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n characters that end at each position."""
-    h = np.full(len(codes), n, np.uint64)
-    for k in range(n - 1, -1, -1):
+def _hashes(codes: np.ndarray, orders: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Per order n the hash of the n characters that end at each position; shorter ones are steps on the way to longer ones."""
+    h, out = np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64), {}
+    for k in range(max(orders)):
         h = h * np.uint64(0x100000001B3)
         h[k:] ^= codes[: len(codes) - k]
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return h
+        if k + 1 in orders:
+            out[k + 1] = h.copy()
+    return out
 
 
-def _hash(codes: np.ndarray, n: int) -> np.ndarray:
-    """The same, as a place in a table."""
-    return (_hash64(codes, n) >> np.uint64(64 - BITS)).astype(np.int64)
+def _grams(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order: the places of each position's context and gram in the tables."""
+    at = {n: (h >> np.uint64(64 - BITS)).astype(np.int64) for n, h in _hashes(codes, tuple({m for n in ORDERS for m in (n - 1, n)})).items()}
+    return [(np.roll(at[n - 1], 1), at[n]) for n in ORDERS]
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -132,11 +139,9 @@ def _codes(texts: list[str]) -> np.ndarray:
 
 def counts(texts: list[str], weight: np.ndarray | None = None) -> np.ndarray:
     """Table [order, context or gram, hash] of n-gram counts; weight is one number per character of ``_codes``."""
-    c = _codes(texts)
     out = np.zeros((len(ORDERS), 2, 1 << BITS))
-    for i, n in enumerate(ORDERS):
-        out[i, 1] = np.bincount(_hash(c, n), weight, 1 << BITS)
-        out[i, 0] = np.bincount(np.roll(_hash(c, n - 1), 1), weight, 1 << BITS)
+    for i, (context, gram) in enumerate(_grams(_codes(texts))):
+        out[i, 1], out[i, 0] = np.bincount(gram, weight, 1 << BITS), np.bincount(context, weight, 1 << BITS)
     return out
 
 
@@ -150,7 +155,7 @@ def log_likelihood(table: np.ndarray, hashes: list[tuple[np.ndarray, np.ndarray]
 def ratios(models: list[np.ndarray], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word of all texts: its text, its number of characters, its windowed ratio, and whether filler (0) or notices (1) win."""
     c = _codes(texts)
-    hs = [(np.roll(_hash(c, n - 1), 1), _hash(c, n)) for n in ORDERS]
+    hs = _grams(c)
     ll = [log_likelihood(m, hs) for m in models]
     best = np.maximum(ll[0], ll[1])
     start = np.cumsum([5] + [len(t) + 5 for t in texts])[:-1]
@@ -194,9 +199,9 @@ def seed_share(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n, c = 6, _codes(texts)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     at = np.concatenate([np.arange(len(t)) + s for t, s in zip(texts, np.cumsum([5] + [len(t) + 5 for t in texts])[:-1], strict=True)]) if texts else np.zeros(0, np.int64)
-    h, per = _hash64(c, n), []
+    h, per = _hashes(c, (n,))[n], []
     for seeds in (FILLER, NOTICES):
-        hit = np.isin(h, _hash64(_codes([fold(x) for x in seeds]), n))  # whole hashes: the few grams of a looped word must not meet a seed's by chance
+        hit = np.isin(h, _hashes(_codes([fold(x) for x in seeds]), (n,))[n])  # whole hashes: the few grams of a looped word must not meet a seed's by chance
         inside = hit.copy()
         for k in range(1, n):
             inside[:-k] |= hit[k:]
