@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lorespark.session import Stage
 
@@ -92,8 +93,11 @@ _LOOP = re.compile(r"(?<!\w)(\w+)(?:\W+\1(?!\w)){2,}")
 _ANY_LATIN = re.compile("[a-zA-Z]")
 _MIXED = re.compile(r"\w*[а-яё]\w*", re.I)
 
-BITS = 20
 ORDERS = (2, 3, 5)
+#: Places of each order's counts, of contexts and of grams alike; far more than the grams there are, so that tables do not fill up.
+PLACES = (1 << 14, 1 << 17, 1 << 19)
+STARTS = tuple(2 * sum(PLACES[:i]) for i in range(len(PLACES)))
+TABLE = 2 * sum(PLACES)
 MIX = (0.2, 0.35, 0.45)
 WINDOW = 2  # words to each side
 RATIO = 0.3  # nats per character of a window that is residue
@@ -132,27 +136,33 @@ def _hashes(codes: np.ndarray, orders: tuple[int, ...]) -> dict[int, np.ndarray]
 
 
 def _grams(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order: the places of each position's context and gram in the tables."""
-    at = {n: (h >> np.uint64(64 - BITS)).astype(np.int64) for n, h in _hashes(codes, tuple({m for n in ORDERS for m in (n - 1, n)})).items()}
-    return [(np.roll(at[n - 1], 1), at[n]) for n in ORDERS]
+    """Per order: the places of each position's context and gram in the flat table."""
+    h = _hashes(codes, tuple({m for n in ORDERS for m in (n - 1, n)}))
+    out = []
+    for n, size, start in zip(ORDERS, PLACES, STARTS, strict=True):
+        shift = np.uint64(65 - size.bit_length())
+        out.append((np.roll((h[n - 1] >> shift).astype(np.int64), 1) + start, (h[n] >> shift).astype(np.int64) + start + size))
+    return out
 
 
 def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer(("\n" * 5 + ("\n" * 5).join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
 
-def counts(texts: list[str], weight: np.ndarray | None = None) -> np.ndarray:
-    """Table [order, context or gram, hash] of n-gram counts; weight is one number per character of ``_codes``."""
-    out = np.zeros((len(ORDERS), 2, 1 << BITS))
-    for i, (context, gram) in enumerate(_grams(_codes(texts))):
-        out[i, 1], out[i, 0] = np.bincount(gram, weight, 1 << BITS), np.bincount(context, weight, 1 << BITS)
+def counts(texts: list[str], out: np.ndarray | None = None) -> np.ndarray:
+    """Flat table of n-gram counts (contexts, then grams, of each order), added to ``out``."""
+    out = np.zeros(TABLE, np.float32) if out is None else out
+    for (context, gram), size, start in zip(_grams(_codes(texts)), PLACES, STARTS, strict=True):
+        for at, lo in ((context, start), (gram, start + size)):
+            place, n = np.unique(at - lo, return_counts=True)
+            out[lo + place] += n
     return out
 
 
 def log_likelihood(table: np.ndarray, hashes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     p = np.full(len(hashes[0][0]), 0.0)
     for i, (ctx, gram) in enumerate(hashes):
-        p += MIX[i] * (table[i, 1][gram] + 0.02) / (table[i, 0][ctx] + 0.02 * 120)
+        p += MIX[i] * (table[gram] + 0.02) / (table[ctx] + 0.02 * 120)
     return np.log(p)
 
 
@@ -216,12 +226,13 @@ def seed_share(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(*per) / size, per[1] > per[0]
 
 
-def sorted_counts(folded: list[str], cover: np.ndarray, notice: np.ndarray, sure: float, clean: float) -> np.ndarray:
-    out = np.zeros((CLASSES, len(ORDERS), 2, 1 << BITS), np.float32)
+def sorted_counts(folded: list[str], cover: np.ndarray, notice: np.ndarray, sure: float, clean: float, out: np.ndarray | None = None) -> np.ndarray:
+    """Tables [class, place] of the texts sorted by their cover, added to ``out``."""
+    out = np.zeros((CLASSES, TABLE), np.float32) if out is None else out
     for c, mask in enumerate(((cover >= sure) & ~notice, (cover >= sure) & notice, cover < clean)):
         part = [t for t, m in zip(folded, mask, strict=True) if m]
         if part:
-            out[c] = counts(part)
+            counts(part, out[c])
     return out
 
 
@@ -238,41 +249,41 @@ def runs(texts: list[str], size: int = 100_000) -> Iterator[list[str]]:
         yield part
 
 
-def _sum_tables(texts: DataFrame, make) -> list[np.ndarray]:
-    """Sum count tables over all partitions: sparse rows, combined before the shuffle; 3 * 2 * CLASSES * 2**BITS numbers at most."""
+def _sum_tables(texts: DataFrame, add) -> list[np.ndarray]:
+    """Sum count tables over all partitions: sparse rows, combined before the shuffle; CLASSES * TABLE numbers at most."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, len(ORDERS), 2, 1 << BITS), np.float32)
+        total = np.zeros((CLASSES, TABLE), np.float32)
         for b in batches:
             for part in runs(b.column(0).to_pylist()):
-                total += make(part)
+                add(part, total)
         flat = total.ravel()
         at = np.nonzero(flat)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at].astype(np.float64))], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["cell", "n"])
 
-    got = texts.mapInArrow(count, "cell long, n double").groupBy("cell").sum("n").toArrow()
-    flat = np.zeros(CLASSES * len(ORDERS) * 2 * (1 << BITS))
+    got = texts.mapInArrow(count, "cell int, n float").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    flat = np.zeros(CLASSES * TABLE, np.float32)
     flat[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return list(flat.reshape(CLASSES, len(ORDERS), 2, 1 << BITS))
+    return list(flat.reshape(CLASSES, TABLE))
 
 
 def fit(texts: DataFrame, text: str) -> list[np.ndarray]:
     """Models from all texts of the table: prose counts, then counts after moving found residue."""
     src = texts.select(text).where(f"`{text}` is not null")
 
-    def first(rows: list[str]) -> np.ndarray:
+    def first(rows: list[str], out: np.ndarray) -> None:
         folded = [fold(t) for t in rows]
-        return sorted_counts(folded, *seed_share(folded), sure=0.7, clean=0.4)
+        sorted_counts(folded, *seed_share(folded), sure=0.7, clean=0.4, out=out)
 
     def models(tables: list[np.ndarray]) -> list[np.ndarray]:
         return [s + t for s, t in zip(seed_models(), tables, strict=True)]
 
     shared = texts.sparkSession.sparkContext.broadcast(models(_sum_tables(src, first)))  # tables of a fixed size
 
-    def second(rows: list[str]) -> np.ndarray:
+    def second(rows: list[str], out: np.ndarray) -> None:
         folded = [fold(t) for t in rows]
         doc, size, _, kind = ratios(shared.value, folded)
         notice = np.bincount(doc, size * kind, len(rows)) * 2 > np.bincount(doc, size, len(rows))
-        return sorted_counts(folded, coverage(shared.value, folded), notice, sure=0.8, clean=0.3)
+        sorted_counts(folded, coverage(shared.value, folded), notice, sure=0.8, clean=0.3, out=out)
 
     return models(_sum_tables(src, second))
 
@@ -285,7 +296,7 @@ def detect(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     """
     stage = Stage(texts.sparkSession, "residue")
     src = texts.select(id_col, text).where(f"`{text}` is not null and trim(`{text}`) <> ''")
-    models = texts.sparkSession.sparkContext.broadcast([m.astype(np.float32) for m in fit(src, text)])  # of a fixed size
+    models = texts.sparkSession.sparkContext.broadcast(fit(src, text))  # of a fixed size
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
