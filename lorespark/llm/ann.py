@@ -482,13 +482,12 @@ def pairs(neighbours: DataFrame) -> DataFrame:
     return neighbours.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-def recall_of(neighbours: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, block: int = 4096) -> DataFrame:
-    """(queries, neighbours, found, recall): the share of the exact neighbours of every row whose id is divisible by 100 that ``neighbours`` has.
+def recall_per_query(neighbours: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, block: int = 4096) -> DataFrame:
+    """(id, neighbours, found): of every row whose id is divisible by 100, its exact neighbours and how many of them ``neighbours`` has.
 
     The queries are taken against all rows, ``block`` at a time.
     """
-    spark = vectors.sparkSession
-    sound = Stage(spark, "ann").cut(packed(vectors, id_col, vec_col, dim))
+    sound = Stage(vectors.sparkSession, "ann").cut(packed(vectors, id_col, vec_col, dim))
     asked = sound.where("id % 100 = 0")
     blocks = max(1, math.ceil(asked.count() / block))
     true = None
@@ -496,5 +495,11 @@ def recall_of(neighbours: DataFrame, vectors: DataFrame, id_col: str, vec_col: s
         part = exact_nearest(sound, asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow(), k).select("id", "neighbour")
         true = part if true is None else true.unionByName(part)
     both = true.join(neighbours.select("id", "neighbour", F.lit(1).alias("hit")), ["id", "neighbour"], "left")
-    got = both.agg(F.count_distinct("id").alias("queries"), F.count("*").alias("neighbours"), F.count("hit").alias("found"))
+    return both.groupBy("id").agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"))
+
+
+def recall_of(neighbours: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, block: int = 4096) -> DataFrame:
+    """(queries, neighbours, found, recall) over all those queries."""
+    per = recall_per_query(neighbours, vectors, id_col, vec_col, dim, k, block)
+    got = per.agg(F.count("*").alias("queries"), F.sum("neighbours").alias("neighbours"), F.sum("found").alias("found"))
     return got.withColumn("recall", F.col("found") / F.col("neighbours"))
