@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.dates import between_dates
-from lorespark.functions.stem import stem, stem_udf
+from lorespark.functions.stem import stem
 from lorespark.functions.text import as_col
 from lorespark.functions.vectors import check_query, cosine_distance, is_sound
 from lorespark.providers import Embedder, Scorer, checked_scores, embed_column
@@ -54,14 +55,26 @@ def terms(text: Column | str) -> Column:
 
 
 def inverted_index(chunks: DataFrame, id_col: str = "id", text: str = "text", stemmed: bool = True) -> DataFrame:
-    """(term, id, positions): one row per term of a chunk.  Distinct surface forms are stemmed once, then joined back."""
-    words = chunks.select(F.col(id_col).alias("id"), F.posexplode(terms(text)).alias("pos", "word"))
-    if stemmed:
-        forms = words.select("word").distinct().withColumn("term", stem_udf("word"))
-        words = words.join(forms, "word")
-    else:
-        words = words.withColumnRenamed("word", "term")
-    return words.groupBy("term", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(term, id, positions): one row per term of a chunk, made row by row without a shuffle; words are cut in the JVM and stemmed once per worker."""
+    known: dict[str, str] = {}
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[str, int, list[int]]] = []
+            for i, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at: dict[str, list[int]] = {}
+                for k, w in enumerate(words or ()):
+                    if stemmed:
+                        if (s := known.get(w)) is None:
+                            if len(known) > 500_000:
+                                known.clear()
+                            s = known[w] = stem(w)
+                        w = s
+                    at.setdefault(w, []).append(k)
+                out += [(w, i, ks) for w, ks in at.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], ["term", "id", "positions"])
+
+    return chunks.select(F.col(id_col).cast("long").alias("id"), terms(text).alias("words")).mapInArrow(turn, "term string, id long, positions array<int>")
 
 
 INDEX_BUCKETS = 64
@@ -70,11 +83,10 @@ INDEX_BUCKETS = 64
 def write_index(index: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
     """Store an inverted index, one folder per hash of the term, so that a query reads its terms' folders only.
 
-    Rows of a frequent term are spread over several files of its folder by the chunk's id.
+    Rows are rebalanced by folder: small ones share a task, and one with a frequent term is split by size.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    spread = F.pmod(F.xxhash64("id"), F.lit(8))
-    (index.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path))
+    (index.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
 def stored_index(spark: SparkSession, path: str) -> DataFrame:
