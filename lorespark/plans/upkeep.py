@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import sql
 from lorespark.functions.dates import MONTHS_GENITIVE
+from lorespark.functions.text import TYPOS
 from lorespark.operators import analytics, chunking, evaluation, export, merge, retrieval
 from lorespark.plans import archive
 from lorespark.providers import HashEmbedder, OverlapScorer
@@ -250,3 +251,22 @@ SQL["export_parts"] = f"""WITH RECURSIVE a AS (SELECT message_id, array_to_strin
       UNION ALL SELECT o.peer_id, o.n, o.day, CASE WHEN fits THEN part ELSE part + 1 END, CASE WHEN fits THEN need ELSE dl + bl END, CASE WHEN fits THEN size + need ELSE 100 + dl + bl END
       FROM (SELECT w.part, w.size, w.day AS was, o.*, CASE WHEN o.day <> w.day THEN o.dl ELSE 0 END + o.bl AS need, w.size + CASE WHEN o.day <> w.day THEN o.dl ELSE 0 END + o.bl <= 20000 AS fits FROM w JOIN o ON o.peer_id = w.peer_id AND o.n = w.n + 1) o)
     SELECT peer_id, part, count(*) AS n, sum(shown)::BIGINT AS bytes FROM w GROUP BY 1, 2"""
+
+_FIXES = "map([" + ", ".join(f"'{k}'" for k in TYPOS) + "], [" + ", ".join(f"'{v}'" for v in TYPOS.values()) + "])"
+SQL["neighbor_snippets"] = f"""WITH p AS (SELECT m.id, peer_id, page_file, text, row_number() OVER (PARTITION BY peer_id, page_file ORDER BY vk_msg_id, id) - 1 AS pos, EXISTS (SELECT 1 FROM attachments a WHERE a.message_id = m.id AND a.kind = 'voice') AS voice FROM messages m),
+    w AS (SELECT *, list_transform(list_filter(regexp_split_to_array(regexp_replace(left(text, 60), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\x{{200c}}\\x{{200d}}\\s\\p{{Z}}.,!?—-]', ' ', 'g'), '[\\s\\p{{Z}}]+'), lambda x: length(x) > 0),
+      lambda x: struct_pack(w := x, core := regexp_replace(x, '^[.,!?—-]+|[.,!?—-]+$', '', 'g'))) AS ws FROM p),
+    c AS (SELECT *, array_to_string(list_transform(ws, lambda x: CASE WHEN x.core = '' THEN x.w ELSE coalesce({_FIXES}[lower(x.core)], x.core) || substr(x.w, length(x.core) + 1) END), ' ') AS snip FROM w),
+    n AS (SELECT id, voice, list(CASE WHEN length(text) > 0 THEN snip END) OVER (PARTITION BY peer_id, page_file ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM c)
+    SELECT id, array_to_string(list_filter(near, lambda x: x IS NOT NULL AND length(x) > 3)[1:3], ' | ') AS snippets FROM n WHERE voice"""
+
+#: Sentences, and of long ones words cut to size, are packed by a walk over them.
+SQL["split_long_lines"] = r"""WITH RECURSIVE m AS (SELECT id, text FROM messages WHERE length(text) > 2600),
+    s AS (SELECT id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT id, string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM m)),
+    w AS (SELECT id, i, unnest(x) AS w, generate_subscripts(x, 1) AS j FROM (SELECT id, i, list_filter(regexp_split_to_array(s, '[\s\p{Z}]+'), lambda x: x <> '') AS x FROM s WHERE length(s) > 1200)),
+    u AS (SELECT id, i, 0 AS j, 0 AS k, length(s) AS n FROM s WHERE length(s) BETWEEN 1 AND 1200
+      UNION ALL SELECT id, i, j, k, least(1200, length(w) - k * 1200) FROM (SELECT *, unnest(range(0, (length(w) + 1199) // 1200)) AS k FROM w)),
+    o AS (SELECT id, n, row_number() OVER (PARTITION BY id ORDER BY i, j, k) AS r FROM u),
+    p AS (SELECT id, r, 0 AS part, n AS size FROM o WHERE r = 1
+      UNION ALL SELECT o.id, o.r, CASE WHEN size + 1 + o.n > 1200 THEN part + 1 ELSE part END, CASE WHEN size + 1 + o.n > 1200 THEN o.n ELSE size + 1 + o.n END FROM p JOIN o ON o.id = p.id AND o.r = p.r + 1)
+    SELECT id, part, max(size) + length('Я (10:00): ') AS n FROM p GROUP BY 1, 2"""
