@@ -1,7 +1,9 @@
-"""Tables of the archive, as DDL."""
+"""Tables of the archive, as DDL, and how they lie on disk."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 SCHEMAS = {
     "dialogs": "peer_id bigint, name string, kind string, useless boolean, total_msgs int, own_msgs int, own_share float, voice_total int, voice_own int, years array<int>, meta string",
     "messages": "id bigint, peer_id bigint, vk_msg_id bigint, sent_at timestamp, sender string, is_own boolean, text string, fwd_json string, page_file string",
@@ -19,3 +21,21 @@ SCHEMAS = {
 KEYS = {"dialogs": ["peer_id"], "messages": ["peer_id", "vk_msg_id"], "attachments": ["id"], "voice_transcripts": ["attachment_id"], "photo_analysis": ["attachment_id"],
         "vocab_terms": ["peer_id", "term"], "dialog_periods": ["peer_id", "year_from"], "chunks": ["peer_id", "msg_from", "msg_to", "part", "source"]}
 ALLOWED = {("dialogs", "kind"): ("user", "chat", "community"), ("chunks", "source"): ("messages", "photo"), ("vocab_terms", "source"): ("manual", "sonnet")}
+
+#: Columns that a table's folders are named after, and the column its files are hashed by: tables that are joined by message
+#: share their buckets, so these joins need no shuffle; chunks of one source are replaced without touching the other.
+PARTITIONED = {"chunks": "source"}
+BUCKETED = {"messages": "id", "attachments": "message_id", "voice_transcripts": "message_id", "photo_analysis": "message_id", "chunks": "peer_id"}
+
+
+def create_tables(spark: SparkSession, location: str, buckets: int, database: str = "default") -> None:
+    """All tables, empty, under a folder.  ``buckets``: so many that one bucket of the messages fits a task, and the same for all."""
+    for name, ddl in SCHEMAS.items():
+        layout = f"PARTITIONED BY ({PARTITIONED[name]}) " if name in PARTITIONED else ""
+        layout += f"CLUSTERED BY ({BUCKETED[name]}) SORTED BY ({BUCKETED[name]}) INTO {buckets} BUCKETS " if name in BUCKETED else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({ddl}) USING parquet {layout}LOCATION '{location}/{name}'")
+
+
+def fill(spark: SparkSession, name: str, df: DataFrame, database: str = "default") -> None:
+    """Append rows to a table by column name."""
+    df.select(*spark.table(f"{database}.{name}").columns).write.insertInto(f"{database}.{name}")

@@ -14,6 +14,7 @@ from lorespark.functions.dates import spoken_day
 from lorespark.operators import analytics, chunking, evaluation, export, merge
 from lorespark.operators.chunking import split_long
 from lorespark.providers import HashEmbedder, OverlapScorer, PlainAnalyzer, SilentTranscriber
+from lorespark.schemas import create_tables, fill
 from lorespark.session import Stage, scratch
 from lorespark.sources import files, html, media
 from lorespark.streaming.ingest import Snapshot, StopRun, check_flags, merge_stream
@@ -128,6 +129,25 @@ def test_resets_and_files(spark):
     assert files.schema_differs(df, "id long, v string") == []
 
 
+def test_tables_lie_for_their_joins(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS layout")
+    spark.sql("USE default")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        create_tables(spark, str(tmp_path / "t"), 4, "layout")
+        m = spark.range(200).select("id", F.lit(5).cast("long").alias("peer_id"), F.col("id").alias("vk_msg_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("sent_at", "timestamp"), ("sender", "string"), ("is_own", "boolean"), ("text", "string"), ("fwd_json", "string"), ("page_file", "string"))])
+        a = spark.range(300).select("id", (F.col("id") % 200).alias("message_id"), *[F.lit("x").alias(c) for c in ("att_type", "kind", "url", "local_path")], F.lit(True).alias("download_ok"))
+        fill(spark, "messages", m, "layout")
+        fill(spark, "attachments", a, "layout")
+        j = spark.table("layout.messages").alias("m").join(spark.table("layout.attachments").alias("a"), F.col("m.id") == F.col("a.message_id")).select("a.id")
+        assert j.count() == 300 and "Exchange" not in j._jdf.queryExecution().executedPlan().toString()
+        assert spark.table("layout.chunks").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.sql("DROP DATABASE layout CASCADE")
+
+
 def test_links(spark):
     page = '<p><A class="x" href="/a?b=1&amp;c=2"><b>раз</b>\n два</A> <a name="n">нет</a><a href=\'#\'></a>'
     got = html.links(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string"), "page_id").collect()
