@@ -1,20 +1,22 @@
-"""Most similar vectors for every vector: score-aware quantisation, four-bit table scans, exact reranking.
+"""Most similar vectors for every vector: cells fitted to the data, exact comparison in the cells that a query probes.
 
 1. Exact copies of a vector are folded into one representative, so a mass of copies costs nothing.
-2. A bounded sample fits the cells and the codebooks.  The codebooks minimise the anisotropic loss
-   |e|^2 + (eta - 1) (e . x)^2, which weighs the part of the residual e that is parallel to the vector x
-   by eta, as the parallel part is what disturbs the largest inner products.
+2. A bounded sample fits the cells.
 3. Every vector has one home cell.  All vectors are counted; cells of more than twice ``cell_rows`` are
    divided by leaves that are fitted per cell, in parallel, so the tree grows with the data and with
    its dense spots.
-4. ``CALIBRATION`` vectors are compared exactly with all others.  From their true neighbours come the
-   number of cells that a query has to probe for ``recall``, and how far a table score may fall below
-   the exact one.  Nothing of this is a constant, so it holds as cells grow in number.
-5. Every vector is sent as a query to the cells it probes and scanned with its tables (two dimensions
-   per four bits) over the members' codes.  The exact score of its best candidates bounds the k-th best;
-   all members whose table score may reach that bound are compared exactly.
-6. A cell that is still large is cut into blocks of members and of queries, each pair of blocks a task.
-   The lists of a query's cells are merged to its k best.
+4. ``CALIBRATION`` vectors are compared exactly with all others.  From their true neighbours comes the
+   number of cells that a query has to probe for ``recall``.  It is no constant, so it holds as cells
+   grow in number.
+5. Near cells form groups.  Every vector is sent as a query to each group of the cells it probes, once, and
+   compared with the members of these cells by products of matrices.
+6. A group is searched in blocks of members and of queries, each pair of blocks a task.
+   The lists of a query's groups are merged to its k best.
+
+Score-aware codes of four bits for two dimensions (``fit_books``, ``encode``, ``decode``: codebooks that minimise
+|e|^2 + (eta - 1) (e . x)^2, which weighs the part of the residual e that is parallel to the vector x by eta) are not
+part of the search.  Their scores need a margin that lets hundreds of members a query through to be compared exactly
+after all, which takes several times as long as exact products.
 """
 
 from __future__ import annotations
@@ -35,11 +37,8 @@ SAMPLE_ROWS = 32768
 CODEBOOK_ROWS = 8192
 #: Rows of one divided cell that its leaves are fitted on, at most.
 LEAF_ROWS = 65536
-#: Vectors compared with all others to set the probes and the slack.
+#: Vectors compared with all others to set the probes.
 CALIBRATION = 512
-#: Share of true neighbours whose table score may fall below the slack.
-SLACK_MISS = 0.005
-STEPS = 4000  # levels of one table's scores; 16 of them fit 16 bits
 
 
 def matrix(col: pa.ChunkedArray | pa.Array, dtype=np.float32) -> np.ndarray:
@@ -105,7 +104,6 @@ class Model:
     starts: np.ndarray  # [c + 1], the leaves of each coarse cell
     books: np.ndarray  # [m, 16, 2]
     eta: float
-    slack: float = 0.0  # by how much a table score may fall below the exact one
 
     def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest leaves of every row, nearest first, -1 where there are fewer.
@@ -211,59 +209,87 @@ def new_model(coarse: np.ndarray, leaves: np.ndarray | None = None, starts: np.n
     return Model(coarse, leaves, starts, np.zeros(((d + 1) // 2, 16, 2), np.float32), max(1.0, (d - 1) * threshold**2 / (1 - threshold**2)))
 
 
-def _tables(model: Model, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of two codes each, [pairs, 256, queries] of 16-bit levels; a level's score and the score of level 0."""
-    lut = np.einsum("qmd,mkd->mkq", _halves(q, len(model.books)), model.books)
-    if len(lut) % 2:
-        lut = np.concatenate([lut, np.zeros_like(lut[:1])])
-    two = (lut[0::2][:, :, None, :] + lut[1::2][:, None, :, :]).reshape(len(lut) // 2, 256, len(q))
-    low = two.min(1, keepdims=True)
-    step = np.maximum((two - low).max((0, 1)), 1e-9) / min(STEPS, 65535 // len(two))
-    return ((two - low) / step + 0.5).astype(np.uint16), step, low.sum((0, 1))
-
-
-def scan(model: Model, leaf: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of x for every row of q: table scan, then exact.  id -1 where there are fewer."""
-    x32, n = x.astype(np.float32), len(x)
-    codes = model.encode(x32, np.full(n, leaf))
-    if codes.shape[1] % 2:
-        codes = np.pad(codes, ((0, 0), (0, 1)))
-    pair = np.ascontiguousarray((codes[:, 0::2] * np.uint8(16) + codes[:, 1::2]).T.astype(np.intp))
+def _hits(scores: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of all scores of at least the row's bound, in order; the width is a multiple of eight, so that eight are looked at at once."""
+    width = scores.shape[1]
+    mask = (scores >= least[:, None]).ravel()
+    eight = np.flatnonzero(mask.view(np.uint64))
+    at = (eight[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(at[mask[at]], width)
+
+
+def scan(model: Model, q: np.ndarray, q_ids: np.ndarray, probed: np.ndarray, x: np.ndarray, ids: np.ndarray, home: np.ndarray, k: int, at_once: int = 256, piece: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows of x in the ``probed`` leaves of every row of q.  id -1 where there are fewer.
+
+    Products of matrices, a block of queries by a piece of a leaf, in single precision; what may reach the k-th best is
+    compared in double.
+    """
+    order = np.argsort(home, kind="stable")
+    x, ids, home = x[order], ids[order], home[order]
+    here, first = np.unique(home, return_index=True)
+    ends = np.append(first[1:], len(home))
+    leaves, x32 = model.leaves[here], np.concatenate([x.astype(np.float32), np.zeros((8, x.shape[1]), np.float32)])
     out_id, out_s = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf)
-    first, tmp = min(2 * k, n), np.empty((n, at_once), np.uint16)
-    for lo in range(0, len(q), at_once):
-        qq, own = q[lo: lo + at_once], q_ids[lo: lo + at_once]
-        w = len(qq)
-        tab, step, zero = _tables(model, qq.astype(np.float32))
-        acc = np.take(tab[0], pair[0], axis=0)
-        for p in range(1, len(pair)):
-            acc += np.take(tab[p], pair[p], axis=0, out=tmp[:, :w] if w == at_once else None, mode="clip")
-        acc = np.ascontiguousarray(acc.T)
-        zero = zero + qq.astype(np.float32) @ model.leaves[leaf]
-
-        def exact(mask: np.ndarray, least: np.ndarray, qq=qq, own=own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            r, c = np.nonzero(mask)
-            other = own[r] != ids[c]
-            r, c = r[other], c[other]
-            s = np.concatenate([np.einsum("pd,pd->p", qq[r[a: a + 65536]], x[c[a: a + 65536]]) for a in range(0, len(r), 65536)]) if len(r) else np.zeros(0)
-            high = s >= least[r]
-            r, c, s = r[high], c[high], s[high]
-            o = np.lexsort((ids[c], -s, r))
-            r, c, s = r[o], c[o], s[o]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            keep = rank < k
-            return r[keep] * k + rank[keep], c[keep], s[keep]
-
-        # the best candidates' exact scores bound the k-th best from below
-        at, _, s = exact(acc >= np.partition(acc, n - first, axis=1)[:, n - first, None], np.full(w, -2.0))
-        bound = np.full((w, k), -2.0)
-        bound.ravel()[at] = s
-        level = np.floor((bound[:, -1] - model.slack - zero) / step) - len(pair) / 2  # table levels are rounded
-        at, c, s = exact(acc >= np.clip(level, 0, 65535).astype(np.uint16)[:, None], bound[:, -1])
-        out_id[lo: lo + w].ravel()[at], out_s[lo: lo + w].ravel()[at] = ids[c], s
+    scores = np.empty(at_once * piece, np.float32)
+    # queries of one nearest leaf go together and begin there, so that their bounds are high at once
+    starts = np.concatenate([(q[lo: lo + 8192].astype(np.float32) @ leaves.T).argmax(1) for lo in range(0, len(q), 8192)])
+    in_turn = np.argsort(starts, kind="stable")
+    for lo_q in range(0, len(q), at_once):
+        s = in_turn[lo_q: lo_q + at_once]
+        q64, own, want = q[s], q_ids[s], probed[s]
+        q32, best_s, best_id = q64.astype(np.float32), out_s[s], out_id[s]
+        for at in np.argsort(-leaves @ leaves[starts[s[len(s) // 2]]], kind="stable"):
+            rows = np.nonzero((want == here[at]).any(1))[0]
+            for lo in range(first[at], ends[at], piece) if len(rows) else ():
+                hi = min(lo + piece, ends[at])
+                width = hi - lo + 7 & ~7
+                z = scores[: len(rows) * width].reshape(len(rows), width)
+                np.matmul(q32[rows], x32[lo: lo + width].T, out=z)
+                z[:, hi - lo:] = -np.inf
+                least = np.maximum(best_s[rows, -1], -2) - 1e-5
+                fresh = np.nonzero(np.isneginf(best_s[rows, -1]))[0]
+                if len(fresh) and hi - lo > k:  # no bound yet: the piece's own, the query itself left out
+                    least[fresh] = np.partition(z[fresh], width - k - 1, axis=1)[:, width - k - 1] - 1e-5
+                r, c = _hits(z, least.astype(np.float32))
+                c += lo
+                r, other = rows[r], own[rows[r]] != ids[c]
+                r, c = r[other], c[other]
+                s_ = np.concatenate([np.einsum("pd,pd->p", q64[r[a: a + 65536]], x[c[a: a + 65536]]) for a in range(0, max(1, len(r)), 65536)])
+                high = s_ >= best_s[r, -1]
+                r, c, s_ = r[high], c[high], s_[high]
+                if not len(r):
+                    continue
+                changed = np.unique(r)
+                rr, ii, ss = np.concatenate([r, np.repeat(changed, k)]), np.concatenate([ids[c], best_id[changed].ravel()]), np.concatenate([s_, best_s[changed].ravel()])
+                o = np.lexsort((ii, -ss, rr))
+                rr = rr[o]
+                o = o[np.arange(len(rr)) - np.searchsorted(rr, rr) < k]
+                best_id[changed], best_s[changed] = ii[o].reshape(-1, k), ss[o].reshape(-1, k)
+        out_id[s], out_s[s] = best_id, best_s
     return out_id, out_s
 
 
+def groups(model: Model, counted: np.ndarray, most: int) -> np.ndarray:
+    """Per leaf the group it is searched with: near leaves of together at most ``most`` rows, or one larger leaf.
+
+    Near leaves are probed by the same queries, and a query is sent to a group once, however many leaves of it it probes.
+    """
+    out, n, todo = np.zeros(len(model.leaves), np.int64), 0, [np.arange(len(model.leaves))]
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or counted[part].sum() <= most:
+            out[part] = n
+            n += 1
+            continue
+        c = kmeans(model.leaves[part], 2, 10, np.random.default_rng(len(part)), True)
+        z = model.leaves[part] @ (c[0] - c[1])
+        side = z > 0
+        if side.all() or not side.any():
+            side = np.argsort(np.argsort(z, kind="stable")) < len(part) // 2
+        todo += [part[side], part[~side]]
+    return out
+
+
 def exact_nearest(sound: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     """(id, neighbour, similarity, vec): the exact k most similar of all sound vectors to each of a bounded set of queries (id, vec).
 
@@ -307,17 +333,13 @@ def exact_nearest(sound: DataFrame, queries: pa.Table, k: int) -> DataFrame:
 
 
 def calibrate(model: Model, reps: DataFrame, queries: pa.Table, k: int, recall: float) -> int:
-    """Sets the model's slack and returns the probes, from the true neighbours of the queries."""
+    """The number of cells to probe, from the true neighbours of the queries."""
     true = exact_nearest(reps, queries, k).toArrow()  # CALIBRATION x k rows
     if not true.num_rows:
-        model.slack = 1.0
         return 1
     at = {i: p for p, i in enumerate(queries.column("id").to_pylist())}
     q = unit(matrix(queries.column("vec")), np.float32)[[at[i] for i in true.column("id").to_pylist()]]
-    x = unit(matrix(true.column("vec")), np.float32)
-    home = model.cells(x, 1)[:, 0]
-    miss = true.column("similarity").to_numpy() - (q * model.decode(model.encode(x, home), home)).sum(1)
-    model.slack = float(np.quantile(miss, 1 - SLACK_MISS))
+    home = model.cells(unit(matrix(true.column("vec")), np.float32), 1)[:, 0]
     probes = 1
     while probes < len(model.leaves):
         if (model.cells(q, probes) == home[:, None]).any(1).mean() >= recall:
@@ -333,8 +355,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
     A vector is sound if it is not null, has ``dim`` finite values and is not all zero; others, and rows
     without id, take no part.  Ties go to the smaller id; copies of a vector are neighbours of one another
     at similarity 1.  Fewer than k other vectors give fewer rows; an empty table gives none.  ``recall`` is
-    the share of true neighbours that the probed cells must hold; ``exact`` probes all cells and compares
-    everything exactly.
+    the share of true neighbours that the probed cells must hold; ``exact`` probes all cells.
     """
     spark = vectors.sparkSession
     stage = Stage(spark, "ann")
@@ -360,16 +381,16 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
     if (counted > 2 * cell_rows).any():
         model = _divide(reps, model, counted, cell_rows)
         counted = _count(reps, model)
-    fit_books(sample, model)
-    probes = calibrate(model, reps, drawn(CALIBRATION, 1), k, recall)
-    if exact:
-        probes, model.slack = len(model.leaves), 4.0
+    probes = len(model.leaves) if exact else calibrate(model, reps, drawn(CALIBRATION, 1), k, recall)
     shared = spark.sparkContext.broadcast(model)  # the leaves grow as n / cell_rows: 256 bytes each, 43 MB at a billion vectors
-    base_blocks = np.maximum(1, np.ceil(counted / max_cell)).astype(np.int64)
-    query_blocks = np.maximum(1, np.ceil(_count(reps, model, probes) / max_cell)).astype(np.int64)
+    block = min(4 * max_cell, max(max_cell, n // 16))  # larger for more rows: the copies of rows in blocks shrink as blocks grow
+    group = groups(model, counted, block)
+    base_blocks = np.maximum(1, np.ceil(np.bincount(group, counted) / block)).astype(np.int64)
+    asked = _count(reps, model, probes, group)
+    query_blocks = np.maximum(1, np.ceil(asked / block)).astype(np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every vector as a member of a block of its home cell, and as a query of a block of each cell it probes."""
+        """Every vector as a member of a block of the group of its home cell, and as a query of a block of each group of the cells it probes."""
         for b in batches:
             if not b.num_rows:
                 continue
@@ -378,29 +399,33 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
             mix = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
             out = []
             for query in (False, True):
-                row, col = np.nonzero(c >= 0) if query else (np.arange(len(ids)), np.zeros(len(ids), np.int64))
-                cell = c[row, col].astype(np.int64)
+                row, part = _probed(c, group) if query else (np.arange(len(ids)), group[c[:, 0]])
                 mine, others = (query_blocks, base_blocks) if query else (base_blocks, query_blocks)
-                times = others[cell]
-                r, ce = np.repeat(row, times), np.repeat(cell, times)
-                own = (mix[row] // (1 if query else 7) % mine[cell]).repeat(times)
+                times = others[part]
+                r, p = np.repeat(row, times), np.repeat(part, times)
+                own = (mix[row] // (1 if query else 7) % mine[part]).repeat(times)
                 other = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                out.append((r, ce, own if query else other, other if query else own, np.full(len(r), query)))
-            r, ce, qb, bb, role = (np.concatenate(z) for z in zip(*out, strict=True))
+                out.append((r, p, own if query else other, other if query else own, np.full(len(r), query)))
+            r, p, qb, bb, role = (np.concatenate(z) for z in zip(*out, strict=True))
             for lo in range(0, len(r), 20000):
                 s = slice(lo, lo + 20000)
-                yield pa.RecordBatch.from_arrays([pa.array(ce[s].astype(np.int32)), pa.array(qb[s].astype(np.int32)), pa.array(bb[s].astype(np.int32)), pa.array(role[s]), pa.array(ids[r[s]]), binary(x[r[s]])],
-                                                 ["cell", "qb", "bb", "query", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(p[s].astype(np.int32)), pa.array(qb[s].astype(np.int32)), pa.array(bb[s].astype(np.int32)), pa.array(role[s]), pa.array(ids[r[s]]), binary(x[r[s]])],
+                                                 ["part", "qb", "bb", "query", "id", "vec"])
 
     def search(t: pa.Table) -> pa.Table:
-        leaf, query, ids, x = t.column("cell")[0].as_py(), t.column("query").to_numpy(), t.column("id").to_numpy(), unit(matrix(t.column("vec")))
+        query, ids, x = t.column("query").to_numpy(), t.column("id").to_numpy(), unit(matrix(t.column("vec")))
         if query.all() or not query.any():
             return pa.table({"id": ids[:0], "ids": binary(np.zeros((0, k), np.int64)), "sims": binary(np.zeros((0, k)))})
-        nid, s = scan(shared.value, leaf, x[query], ids[query], x[~query], ids[~query], k)
+
+        def cells(rows: np.ndarray, probes: int) -> np.ndarray:
+            return np.concatenate([shared.value.cells(rows[lo: lo + 10000].astype(np.float32), probes) for lo in range(0, len(rows), 10000)])
+
+        q, members = x[query], x[~query]
+        nid, s = scan(shared.value, q, ids[query], cells(q, probes), members, ids[~query], cells(members, 1)[:, 0], k)
         return pa.table({"id": ids[query], "ids": binary(nid), "sims": binary(s)})
 
-    parts = (reps.mapInArrow(spread, "cell int, qb int, bb int, query boolean, id long, vec binary")
-             .groupBy("cell", "qb", "bb").applyInArrow(search, "id long, ids binary, sims binary"))
+    parts = (reps.mapInArrow(spread, "part int, qb int, bb int, query boolean, id long, vec binary")
+             .groupBy("part", "qb", "bb").applyInArrow(search, "id long, ids binary, sims binary"))
 
     def merge(t: pa.Table) -> pa.Table:
         nid, s = matrix(t.column("ids"), np.int64), matrix(t.column("sims"), np.float64)
@@ -413,7 +438,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
         keep = np.arange(len(own)) - np.searchsorted(own, own) < k
         return pa.table({"id": own[keep], "neighbour": nid[keep], "similarity": s[keep]})
 
-    buckets = max(12, math.ceil(n * probes / 60000))
+    buckets = max(12, math.ceil(int((asked * base_blocks).sum()) / 60000))
     found = (parts.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
              .groupBy("bucket").applyInArrow(lambda t: merge(t), empty))
     if not copies:
@@ -433,21 +458,28 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
     return full.select("id", F.explode(rest).alias("b")).select("id", F.col("b.nid").alias("neighbour"), F.col("b.similarity").alias("similarity"))
 
 
-def _count(reps: DataFrame, model: Model, probes: int = 1) -> np.ndarray:
-    """Rows of every cell, or queries that probe it: one number per cell, added up per partition first."""
+def _probed(c: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a table of probed cells and the groups of these, each pair once."""
+    row, col = np.nonzero(c >= 0)
+    pair = np.unique(row * (int(group.max()) + 1) + group[c[row, col]])
+    return np.divmod(pair, int(group.max()) + 1)
+
+
+def _count(reps: DataFrame, model: Model, probes: int = 1, group: np.ndarray | None = None) -> np.ndarray:
+    """Rows of every cell, or queries that probe any cell of a group: one number per cell or group, added up per partition first."""
     shared = reps.sparkSession.sparkContext.broadcast(model)
+    group = np.arange(len(model.leaves)) if group is None else group
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.leaves), np.int64)
+        total = np.zeros(int(group.max()) + 1, np.int64)
         for b in batches:
             if b.num_rows:
-                c = shared.value.cells(unit(matrix(b.column(1)), np.float32), probes).ravel()
-                total += np.bincount(c[c >= 0], minlength=len(total))
+                total += np.bincount(_probed(shared.value.cells(unit(matrix(b.column(1)), np.float32), probes), group)[1], minlength=len(total))
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
     got = reps.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(model.leaves), np.int64)
+    out = np.zeros(int(group.max()) + 1, np.int64)
     out[got.cell.to_numpy()] = got.n.to_numpy()
     return out
 

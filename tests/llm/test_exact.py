@@ -65,6 +65,25 @@ def test_recall_holds_over_many_cells(spark, sample):
     found.unpersist()
 
 
+def test_near_cells_are_searched_together():
+    """A query is sent to a group once; a group's scan finds the exact neighbours."""
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(4, 64))
+    x = ann.unit(c[rng.integers(0, 4, 16000)] + rng.normal(size=(16000, 64)))
+    model = ann.new_model(ann.fit_cells(x.astype(np.float32), 16000, 400))
+    home = model.cells(x.astype(np.float32), 1)[:, 0]
+    counted = np.bincount(home, minlength=len(model.leaves))
+    group, probed = ann.groups(model, counted, 6000), model.cells(x[:512].astype(np.float32), len(model.leaves) // 4)
+    assert np.bincount(group, counted).max() <= 6000 and len(ann._probed(probed, group)[0]) < 4 * 512
+    assert ann.groups(model, counted, 100).max() == len(model.leaves) - 1
+    every = np.tile(np.arange(len(model.leaves)), (512, 1))
+    ids = np.arange(16000)
+    nid, s = ann.scan(model, x[:512], ids[:512], every, x, ids, home, 10)
+    z = x[:512] @ x.T
+    z[ids[:512], ids[:512]] = -9
+    assert (nid == np.argsort(-z, axis=1, kind="stable")[:, :10]).all() and np.allclose(s, -np.sort(-z, axis=1)[:, :10])
+
+
 def test_neighbours_of_copies_and_unsound_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 8)).astype(np.float32)
